@@ -1,13 +1,15 @@
-"""Shared helpers: Arrow row maps and work tables in the shared checkpoint folder."""
+"""Shared helpers: Arrow row maps, and the work tables of the engine."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
+
+from strandgraph.plans.fixpoint import WorkTables
+
+__all__ = ["WorkTables", "map_rows", "texts_of"]
 
 
 def map_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
@@ -29,30 +31,3 @@ def map_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.Re
 def texts_of(batch: pa.RecordBatch, column: int | str = 1) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only if none is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandgraph-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
-
-
-class WorkTables:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one early."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-
-    def save(self, df: DataFrame) -> tuple[DataFrame, str]:
-        self.n += 1
-        path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path), path
-
-    def drop(self, *paths: str) -> None:
-        for path in paths:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
