@@ -5,14 +5,19 @@
    each, and a sketch of one byte per minimum.
 2. Texts with equal word sequences form a class; only one row of each class
    goes on, so a group of exact copies costs what one text costs.
-3. Within each band bucket every class is compared with the bucket's smallest
-   one (a star, linear in the bucket).  The sketch estimate discards pairs far
-   below the threshold, and the full shingle sets decide about the others.
+3. Within each band bucket every class is compared with the bucket's hub, the
+   class that shares the most bucket places with others (a star, linear in the
+   bucket; the hub of a family of copies is the copy nearest to all).  The
+   sketch estimate discards pairs far below the threshold, and the full shingle
+   sets decide about the others.
 4. Components of the confirmed links come from alternating large-star and
    small-star.  Buckets that still hold several components are searched again:
-   what is outside the component of the bucket's smallest class is compared
-   with the bucket's other components, so no link between different texts is
-   lost to the star, and nothing inside a component is compared twice.
+   each class outside the hub's component is held against the members of the
+   other components.  A bound from their overlaps with the hub and the sketches
+   leaves few pairs, each taken up in the first band it shares only; the full
+   sets decide about them too.  So no link between different texts is lost to
+   the star, and nothing inside a component is compared twice.  A large bucket
+   is dealt in blocks of members; no pairs but the surviving ones are emitted.
 
 Iterations are cut by tables in the shared checkpoint folder.  No list of
 documents, links or components reaches the driver.
@@ -28,6 +33,7 @@ results; empty tables give empty results; only id and text are read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from hashlib import blake2b
 
 import numpy as np
@@ -35,12 +41,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandgraph.llm.common import WorkTables, map_rows
+from strandgraph.operators.component import star_components
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS = 48, 5
-HASHES = BANDS * ROWS
-#: Sketch estimates below this are no links: six standard deviations under the threshold.
-ESTIMATE = 0.58
+BANDED, HASHES = BANDS * ROWS, 480
+#: Sketch estimates below this are no links: four and a half standard deviations under the threshold.
+ESTIMATE, DEVIATION = 0.66, 0.09
+BLOCK = 4096
 SLICE = 1 << 20
 
 _rng = np.random.default_rng(20240607)
@@ -148,7 +156,7 @@ def minima_of(s: np.ndarray) -> np.ndarray:
 
 
 def band_keys(rows: np.ndarray) -> np.ndarray:
-    parts = rows.reshape(len(rows), BANDS, ROWS).astype(np.uint64)
+    parts = rows[:, :BANDED].reshape(len(rows), BANDS, ROWS).astype(np.uint64)
     with np.errstate(over="ignore"):
         h = (np.arange(BANDS, dtype=np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
         h = np.broadcast_to(h, parts.shape[:2])
@@ -248,24 +256,77 @@ def confirmed(pairs: DataFrame, docs: DataFrame, work: WorkTables) -> DataFrame:
     return map_rows(both.select("a", "b", "text_a", "text_b"), build, "a long, b long")
 
 
-def components(links: DataFrame, work: WorkTables) -> DataFrame:
-    """(node, component) of every linked node but the components' own smallest ones."""
-    u, v = F.greatest("a", "b"), F.least("a", "b")
-    edges, path = work.save(links.select(u.alias("u"), v.alias("v")).where("u <> v").distinct())
-    state = None
-    while True:
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state or not now[0]:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        state = now
-        both = edges.select(F.col("u").alias("x"), F.col("v").alias("y")).union(edges.select("v", "u"))
-        least = both.groupBy("x").agg(F.min("y").alias("m"))
-        large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v")).distinct()
-        small_min = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(small_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_min)
-        edges, new = work.save(small.distinct())
-        work.drop(path)
-        path = new
+def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs (a, b) that may link different components of a bucket block; rows come sorted by band and block.
+
+    A block's rows are the bucket's hub, the classes outside the hub's
+    component (role 1, or 2 if they stand here only as seekers) and the other
+    members (role 0); a hub that is no member of the block has role 3.
+    """
+    parts: list[dict] = []
+
+    def finish() -> tuple[list[int], list[int]]:
+        if not parts:
+            return [], []
+        g = {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
+        parts.clear()
+        return block_pairs(**g)
+
+    last, lefts, rights = None, [], []
+    for batch in batches:
+        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "c", "n", "role", "is_hub", "band", "block")}
+        sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+        key = np.stack([cols.pop("band"), cols.pop("block")])
+        cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
+        for lo, hi in zip([0, *cut], [*cut, len(sketch)], strict=True):
+            now = tuple(key[:, lo])
+            if now != last:
+                a, b = finish()
+                lefts += a
+                rights += b
+                last = now
+            parts.append({k: v[lo:hi] for k, v in cols.items()} | {"sketch": sketch[lo:hi], "band_at": batch.column("at").to_numpy()[lo:hi]})
+        if len(lefts) > 10_000:
+            yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())], ["a", "b"])
+            lefts, rights = [], []
+    a, b = finish()
+    if lefts or a:
+        yield pa.RecordBatch.from_arrays([pa.array(lefts + a, pa.int64()), pa.array(rights + b, pa.int64())], ["a", "b"])
+
+
+def block_pairs(node, c, n, role, is_hub, sketch, band_at) -> tuple[list[int], list[int]]:
+    """The pairs of one block that the bounds leave."""
+    hub = int(np.flatnonzero(is_hub)[0])
+    seek, held = np.flatnonzero((role == 1) | (role == 2)), np.flatnonzero(role < 2)
+    if not len(seek) or not len(held):
+        return [], []
+    band = int(band_at[0])
+    # Overlap of each set with the hub's, as an interval around its estimate.
+    j = (sketch == sketch[hub]).mean(axis=1)
+    low, high = np.clip(j - DEVIATION, 0, 1), np.clip(j + DEVIATION, 0, 1)
+    low[hub] = high[hub] = 1.0
+    both = n + n[hub]
+    low, high = low * both / (1 + low), np.minimum(high * both / (1 + high), np.minimum(n, n[hub]))
+    lefts, rights = [], []
+    for x in seek:
+        other = held[(c[held] != c[x])]
+        # Two seekers meet once, from the smaller one.
+        other = other[(role[other] == 0) | (node[other] > node[x])]
+        least, most = np.minimum(n[other], n[x]), np.maximum(n[other], n[x])
+        shared = np.minimum(least, np.minimum(high[other], high[x]) + np.minimum(n[other] - low[other], n[x] - low[x]))
+        other = other[(100 * least >= THRESHOLD * most) & (100 * shared >= THRESHOLD * (n[other] + n[x] - shared))]
+        for at in range(0, len(other), 4096):
+            part = other[at : at + 4096]
+            same = sketch[part] == sketch[x]
+            near = same.mean(axis=1) >= ESTIMATE
+            part, same = part[near], same[near]
+            if len(part):
+                # The pair belongs to the first band that it shares.
+                first = same[:, :BANDED].reshape(len(part), BANDS, ROWS).all(axis=2).argmax(axis=1)
+                part = part[first == band]
+                lefts += np.minimum(node[part], node[x]).tolist()
+                rights += np.maximum(node[part], node[x]).tolist()
+    return lefts, rights
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -275,38 +336,45 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     live = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
     members = live.groupBy("low", "high").agg(F.min("doc_id").alias("node"))
     classes, _ = work.save(live.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).drop("low", "high"))
-    in_band = classes.select("node", F.col("n").cast("int").alias("n"), F.explode("bands").alias("band"))
-    hubs = in_band.groupBy("band").agg(F.min(F.struct("node", "n")).alias("h"), F.count("*").alias("size")).where("size > 1").select("band", F.col("h.node").alias("hub"), F.col("h.n").alias("hub_n"))
-    buckets, bucket_path = work.save(in_band.join(hubs, "band").select("band", "node", "n", "hub", "hub_n"))
+    in_band = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("at", "band"))
+    sizes = in_band.groupBy("band").agg(F.count("*").cast("int").alias("size")).where("size > 1")
+    shared, shared_path = work.save(in_band.join(sizes, "band"))
+    standing = shared.groupBy("node").agg(F.sum("size").alias("standing"))
+    ranked = shared.join(standing, "node")
+    hubs = ranked.groupBy("band").agg(F.max(F.struct("standing", (-F.col("node")).alias("minus"), "n")).alias("h")).select("band", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
+    buckets, bucket_path = work.save(shared.join(hubs, "band"))
+    work.drop(shared_path)
     sizes_fit = 100 * F.least("n", "hub_n") >= THRESHOLD * F.greatest("n", "hub_n")
     stars = buckets.where((F.col("node") != F.col("hub")) & sizes_fit).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars, _ = work.save(stars)
     text_of = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.col("node").isNotNull())
     likely, _ = work.save(estimated(stars, classes))
     links, _ = work.save(confirmed(likely, text_of, work).distinct())
-    component = components(links, work)
-    # Buckets that still hold several components: the rest against the other components.
-    owner = component.select(F.col("node").alias("k"), "component")
+    component = star_components(links, work)
+    # Buckets that still hold several components.
+    owner = component.select("node", "component")
     tagged = (
         buckets.join(owner.toDF("node", "c"), "node", "left")
         .join(owner.toDF("hub", "hub_c"), "hub", "left")
-        .select("band", "node", "n", F.coalesce("c", "node").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
+        .select("band", "at", "node", "n", "size", (F.col("node") == F.col("hub")).alias("is_hub"), F.coalesce("c", "node").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
     )
-    tagged, tagged_path = work.save(tagged)
+    tagged, _ = work.save(tagged)
     work.drop(bucket_path)
-    outside = tagged.where("c <> hub_c").select("band", F.col("node").alias("x"), F.col("n").alias("x_n"), F.col("c").alias("x_c"))
-    crossed = (
-        tagged.select("band", "node", "n", "c")
-        .join(outside, "band")
-        .where((F.col("c") != F.col("x_c")) & (100 * F.least("n", "x_n") >= THRESHOLD * F.greatest("n", "x_n")))
-        .select(F.least("node", "x").alias("a"), F.greatest("node", "x").alias("b"))
-        .distinct()
-        .join(stars, ["a", "b"], "left_anti")
+    mixed = tagged.where("c <> hub_c").select("band").distinct()
+    open_ = tagged.join(mixed, "band", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    outside = F.col("c") != F.col("hub_c")
+    # Members stand in their own block; seekers and the hub in every one.
+    dealt = (
+        open_.withColumn("block", F.explode(F.when(outside | F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
+        .withColumn("role", F.when(outside, F.when(F.col("block") == F.col("own"), 1).otherwise(2)).when(F.col("block") == F.col("own"), 0).otherwise(3))
+        .select("band", "block", "at", "node", "c", "n", "role", "is_hub")
     )
-    more, _ = work.save(estimated(crossed, classes))
+    dealt = dealt.join(classes.select("node", "sketch"), "node")
+    crossed = dealt.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(crossing, "a long, b long")
+    more, _ = work.save(crossed.distinct().join(likely, ["a", "b"], "left_anti").join(likely.toDF("b", "a"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links2, _ = work.save(links.union(confirmed(more, text_of, work)).distinct())
-        component = components(links2, work)
+        component = star_components(links2, work)
     named = members.join(component, "node", "left").select("low", "high", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "low", "high", F.col("n").alias("n_shingles")).join(named, ["low", "high"], "left")
     found = F.coalesce("component", "doc_id")
