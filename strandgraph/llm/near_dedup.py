@@ -234,26 +234,48 @@ def estimated(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return map_rows(both.select("a", "b", "sketch_a", "sketch_b"), build, "a long, b long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, work: WorkTables) -> DataFrame:
-    """The pairs (a, b) whose full shingle sets pass the threshold."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts, _ = work.save(docs.join(nodes, "node"))
-    both = pairs.join(texts.toDF("b", "text_b"), "b").join(texts.toDF("a", "text_a"), "a")
+#: Ids of the texts to fetch are broadcast to the documents if they are at most so many; beyond that both are shuffled.
+BROADCAST_IDS = 1_000_000
+#: Pairs of one first member that are compared in one place.
+GROUP = 2000
 
-    def build():
-        last: list = [None, None]
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keep = []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist(), strict=True):
-                if last[0] != a:
-                    last[:] = [a, shingle_set(x)]
-                keep.append(similar(last[1], shingle_set(y)))
-            return pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+def confirmed(pairs: DataFrame, docs: DataFrame, work: WorkTables) -> DataFrame:
+    """The pairs (a, b) whose full shingle sets pass the threshold.
 
-        return step
+    A pair's second text travels to its first one's group; the first text is
+    sent once a group, not once a pair, and large groups are salted.
+    """
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    texts, _ = work.save(docs.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_IDS else nodes, "node"))
+    groups = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("salts"))
+    members = (
+        pairs.join(groups, "a")
+        .select("a", "b", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"))
+        .join(texts.withColumnRenamed("node", "b"), "b")
+        .select("a", "salt", "b", "text")
+    )
+    heads = groups.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
+    dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    return dealt.mapInArrow(compared, "a long, b long")
 
-    return map_rows(both.select("a", "b", "text_a", "text_b"), build, "a long, b long")
+
+def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of each group; its rows come sorted, the first member's text, which has no b, in front."""
+    now, heads = None, []
+    for batch in batches:
+        lefts, rights = [], []
+        for a, salt, b, text in zip(*(batch.column(k).to_pylist() for k in ("a", "salt", "b", "text")), strict=True):
+            if (a, salt) != now:
+                now, heads = (a, salt), []
+            found = shingle_set(text)
+            if b is None:
+                heads.append(found)
+            elif any(similar(h, found) for h in heads):
+                lefts.append(a)
+                rights.append(b)
+        if lefts:
+            yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())], ["a", "b"])
 
 
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
