@@ -45,9 +45,9 @@ from strandgraph.operators.component import star_components
 
 SHINGLE, THRESHOLD = 5, 75
 BANDS, ROWS = 48, 5
-BANDED, HASHES = BANDS * ROWS, 480
+BANDED, HASHES = BANDS * ROWS, 960
 #: Sketch estimates below this are no links: four and a half standard deviations under the threshold.
-ESTIMATE, DEVIATION = 0.66, 0.09
+ESTIMATE, DEVIATION = 0.687, 0.073
 BLOCK = 4096
 SLICE = 1 << 20
 
