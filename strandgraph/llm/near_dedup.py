@@ -360,12 +360,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes, _ = work.save(live.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).drop("low", "high"))
     in_band = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("at", "band"))
     sizes = in_band.groupBy("band").agg(F.count("*").cast("int").alias("size")).where("size > 1")
-    shared, shared_path = work.save(in_band.join(sizes, "band"))
+    shared, _ = work.save(in_band.join(sizes, "band"))
     standing = shared.groupBy("node").agg(F.sum("size").alias("standing"))
     ranked = shared.join(standing, "node")
     hubs = ranked.groupBy("band").agg(F.max(F.struct("standing", (-F.col("node")).alias("minus"), "n")).alias("h")).select("band", (-F.col("h.minus")).alias("hub"), F.col("h.n").alias("hub_n"))
-    buckets, bucket_path = work.save(shared.join(hubs, "band"))
-    work.drop(shared_path)
+    buckets = shared.join(hubs, "band")
     sizes_fit = 100 * F.least("n", "hub_n") >= THRESHOLD * F.greatest("n", "hub_n")
     stars = buckets.where((F.col("node") != F.col("hub")) & sizes_fit).select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     text_of = docs.select(F.col(id_col).cast("long").alias("node"), F.coalesce(text_col, F.lit("")).alias("text")).where(F.col("node").isNotNull())
@@ -379,8 +378,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(owner.toDF("hub", "hub_c"), "hub", "left")
         .select("band", "at", "node", "n", "size", (F.col("node") == F.col("hub")).alias("is_hub"), F.coalesce("c", "node").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
     )
-    tagged, _ = work.save(tagged)
-    work.drop(bucket_path)
     mixed = tagged.where("c <> hub_c").select("band").distinct()
     open_ = tagged.join(mixed, "band", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))

@@ -31,7 +31,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .where(F.octet_length("text") <= max_bytes)
         .join(chosen, "doc_id")
-        .dropDuplicates(["doc_id"])
+        .groupBy("doc_id")
+        .agg(F.min("text").alias("text"), F.max("y").alias("y"))
         .collect()
     )
     rows.sort(key=lambda r: (r["doc_id"] * 2654435761 % 2**32, r["doc_id"]))
