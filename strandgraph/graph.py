@@ -170,12 +170,12 @@ class Graph:
 
     # -- writes ----------------------------------------------------------------
 
-    def _next_id(self, frame: DataFrame) -> int:
+    def next_id(self, frame: DataFrame) -> int:
         return (frame.agg(F.max("id")).first()[0] or 0) + 1
 
     def add_nodes(self, specs: Iterable[dict]) -> tuple[Graph, list[int]]:
         """Append nodes given as dicts (kind, name, file_path, data); ids follow the largest one."""
-        first, rows = self._next_id(self.nodes), []
+        first, rows = self.next_id(self.nodes), []
         for i, s in enumerate(specs):
             if not str(s.get("kind", "")).strip() or not str(s.get("name", "")).strip():
                 raise InvalidInput("kind and name must not be blank")
@@ -189,25 +189,25 @@ class Graph:
 
     def append_nodes(self, frame: DataFrame) -> Graph:
         """Bulk append of a DataFrame with the node columns but the id; ids are dealt per partition, without a global sort."""
-        return self.with_frames(nodes=self.nodes.unionByName(_numbered(frame, self._next_id(self.nodes)).select("id", "kind", "name", "file_path", "data")))
+        return self.with_frames(nodes=self.nodes.unionByName(numbered(frame, self.next_id(self.nodes)).select("id", "kind", "name", "file_path", "data")))
 
     def add_edges(self, specs: Iterable[dict]) -> tuple[Graph, list[int]]:
         """Append edges given as dicts (from_id, to_id, edge_type, data); both ends must exist."""
-        first, rows = self._next_id(self.edges), []
+        first, rows = self.next_id(self.edges), []
         for i, s in enumerate(specs):
             if not str(s.get("edge_type", "")).strip() or s["from_id"] <= 0 or s["to_id"] <= 0:
                 raise InvalidInput("edge type must not be blank, ends must be positive")
             rows.append((first + i, s["from_id"], s["to_id"], s["edge_type"], json.dumps(s.get("data", {}), ensure_ascii=False)))
         more = self.spark.createDataFrame(rows, EDGES)
-        return self.append_edges(more, numbered=True), [r[0] for r in rows]
+        return self.append_edges(more, with_ids=True), [r[0] for r in rows]
 
     def add_edge(self, from_id: int, to_id: int, edge_type: str, data: dict | None = None) -> tuple[Graph, int]:
         g, ids = self.add_edges([{"from_id": from_id, "to_id": to_id, "edge_type": edge_type, "data": data or {}}])
         return g, ids[0]
 
-    def append_edges(self, frame: DataFrame, numbered: bool = False) -> Graph:
-        if not numbered:
-            frame = _numbered(frame, self._next_id(self.edges))
+    def append_edges(self, frame: DataFrame, with_ids: bool = False) -> Graph:
+        if not with_ids:
+            frame = numbered(frame, self.next_id(self.edges))
         frame = frame.select("id", "from_id", "to_id", "edge_type", "data")
         if not self.dangling(frame).isEmpty():
             raise InvalidInput("an edge's end does not exist")
@@ -260,7 +260,7 @@ class Graph:
         return F.get_json_object("data", "$['" + key + "']")
 
 
-def _numbered(frame: DataFrame, first: int) -> DataFrame:
+def numbered(frame: DataFrame, first: int) -> DataFrame:
     """Consecutive ids per partition: sizes of the partitions are counted once, then added up."""
     tagged = frame.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
     sizes = {r["__p"]: r["n"] for r in tagged.groupBy("__p").agg(F.count("*").alias("n")).collect()}

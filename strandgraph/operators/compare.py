@@ -8,8 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window, functions as F
 
 from strandgraph.errors import InvalidInput
-from strandgraph.graph import Graph, arcs
+from strandgraph.graph import Graph, arcs, numbered
 from strandgraph.operators import local
+from strandgraph.plans.fixpoint import WorkTables
 
 
 @dataclass(frozen=True)
@@ -159,34 +160,56 @@ def rewrite(g: Graph, rule: Rule, max_matches: int | None = None) -> tuple[Graph
         stray = arcs(g.edges, "both").select(F.col("src").alias("x"), F.col("dst").alias("y"))
         outside = places.select("nodes", F.explode(F.array(*gone)).alias("x")).join(stray, "x").where(~F.array_contains("nodes", F.col("y"))).select("nodes").distinct()
         places = places.join(outside, "nodes", "left_anti")
-    rows = places.orderBy("nodes").toLocalIterator()
-    used: set[int] = set()
-    chosen = []
-    for row in rows:
-        if max_matches is not None and len(chosen) >= max_matches:
-            break
-        if used.isdisjoint(row["nodes"]):
-            used.update(row["nodes"])
-            chosen.append([row[c] for c in columns])
-    before = g
-    if chosen:
-        spark = g.spark
-        if rule.drop_shape_edges:
-            pairs = spark.createDataFrame([(m[a], m[b]) for m in chosen for a, b in rule.shape.edges], "from_id long, to_id long").distinct()
+    chosen = first_disjoint(g, places)
+    if max_matches is not None:
+        chosen = chosen.orderBy("nodes").limit(max_matches)
+    chosen, _ = WorkTables(g.spark, "matches").save(numbered(chosen.select(*columns), 0).withColumnRenamed("id", "match"))
+    count, before = chosen.count(), g
+    if count:
+        if rule.drop_shape_edges and rule.shape.edges:
+            pairs = _stack([chosen.select(F.col(f"n{a}").alias("from_id"), F.col(f"n{b}").alias("to_id")) for a, b in rule.shape.edges]).distinct()
             g = g.with_frames(edges=g.edges.join(pairs, ["from_id", "to_id"], "left_anti").select(*g.edges.columns))
-        dead = [(m[i],) for m in chosen for i in range(rule.shape.n) if i not in rule.interface]
-        if dead:
-            g = g.delete_nodes(spark.createDataFrame(dead, "id long"))
-        ids: list[int] = []
-        if rule.added:
-            g, ids = g.add_nodes([{"kind": k, "name": f"{n}_rewrite_{i}"} for i, _ in enumerate(chosen) for k, n in rule.added])
-        specs = []
-        for i, m in enumerate(chosen):
-            name = lambda x: m[x] if x < rule.shape.n else ids[i * len(rule.added) + x - rule.shape.n]  # noqa: E731, B023
-            specs += [{"from_id": name(a), "to_id": name(b), "edge_type": t} for a, b, t in rule.new_edges]
-        if specs:
-            g, _ = g.add_edges(specs)
-    return g, {"matches": len(chosen), "nodes_added": len(chosen) * len(rule.added), "nodes_deleted": len(chosen) * (rule.shape.n - len(rule.interface)), "edges_added": len(chosen) * len(rule.new_edges), "version": g.version - before.version}
+        if gone:
+            g = g.delete_nodes(_stack([chosen.select(F.col(c).alias("id")) for c in gone]))
+        base, k = g.next_id(before.nodes), len(rule.added)
+        new_id = lambda i: (F.lit(base) + F.col("match") * k + i).cast("long")
+        none = F.lit(None).cast("string")
+        if k:
+            made = [chosen.select(new_id(i).alias("id"), F.lit(kind).alias("kind"), F.concat(F.lit(f"{name}_rewrite_"), F.col("match")).alias("name"), none.alias("file_path"), F.lit("{}").alias("data")) for i, (kind, name) in enumerate(rule.added)]
+            g = g.with_frames(nodes=g.nodes.unionByName(_stack(made)))
+        if rule.new_edges:
+            end = lambda x: F.col(f"n{x}") if x < rule.shape.n else new_id(x - rule.shape.n)
+            links = [chosen.select(end(a).alias("from_id"), end(b).alias("to_id"), F.lit(t).alias("edge_type"), F.lit("{}").alias("data")) for a, b, t in rule.new_edges]
+            g = g.append_edges(_stack(links))
+    return g, {"matches": count, "nodes_added": count * len(rule.added), "nodes_deleted": count * len(gone), "edges_added": count * len(rule.new_edges)}
+
+
+def _stack(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+def first_disjoint(g: Graph, places: DataFrame) -> DataFrame:
+    """The places that taking them in order of their node arrays, none that shares a node with an earlier one, would take.
+
+    Each round takes every place that is the first one at all of its nodes and
+    drops the places that touch it, which gives the sequential choice.
+    """
+    work = WorkTables(g.spark, "disjoint")
+    left, _ = work.save(places)
+    taken = []
+    while not left.isEmpty():
+        at = left.select("nodes", F.explode("nodes").alias("x"))
+        first = at.groupBy("x").agg(F.min("nodes").alias("first"))
+        beaten = at.join(first, "x").where("nodes <> first").select("nodes").distinct()
+        won, path = work.save(left.join(beaten, "nodes", "left_anti"))
+        taken.append(path)
+        used = won.select(F.explode("nodes").alias("x")).distinct()
+        touched = at.join(used, "x", "left_semi").select("nodes").distinct()
+        left, _ = work.save(left.join(touched, "nodes", "left_anti"))
+    return g.spark.read.schema(left.schema).parquet(*taken) if taken else left
 
 
 def shape_of(nodes: Sequence[int], edges: Sequence[tuple[int, int]]) -> Shape:

@@ -10,15 +10,20 @@ from strandgraph.graph import Graph, arcs
 from strandgraph.plans.fixpoint import WorkTables
 
 
+#: Edges in one file of an intermediate table.
+FILE_EDGES = 1_000_000
+
+
 def star_components(links: DataFrame, work: WorkTables, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """(node, component) for links (a, b): large-star and small-star in turn until nothing changes.
 
     Component smallest nodes have no row of their own.  Every step is a grouped
     minimum with map-side partial results and a plain equi-join, so a hub costs
-    a skewed join, which AQE splits, and never a collected group.
+    a skewed join, which AQE splits, and never a collected group.  ``links``
+    should be a stored table; it is read twice before the first cut.
     """
-    edges, path = work.save(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state, rounds = None, 0
+    edges = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    path, state, rounds = None, None, 0
     while True:
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state or not now[0]:
@@ -29,8 +34,9 @@ def star_components(links: DataFrame, work: WorkTables, progress: Callable[[int,
         large = both.join(least, "x").where("y > x").select(F.col("y").alias("u"), F.least("x", "m").alias("v")).distinct()
         small_min = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(small_min, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small_min)
-        edges, new = work.save(small.distinct())
-        work.drop(path)
+        edges, new = work.save(small.distinct(), files=1 + 2 * now[0] // FILE_EDGES)
+        if path:
+            work.drop(path)
         path = new
         if progress:
             progress(rounds, now[0])
@@ -39,7 +45,8 @@ def star_components(links: DataFrame, work: WorkTables, progress: Callable[[int,
 def connected_components(g: Graph, progress: Callable[[int, int], None] | None = None) -> DataFrame:
     """(id, component): undirected; the component's name is its smallest id."""
     links = g.edges.select(F.col("from_id").alias("a"), F.col("to_id").alias("b"))
-    found = star_components(links, WorkTables(g.spark, "wcc"), progress)
+    work = WorkTables(g.spark, "wcc")
+    found = star_components(work.save(links.where("a <> b").distinct())[0], work, progress)
     return g.nodes.select("id").join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 

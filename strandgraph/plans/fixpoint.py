@@ -24,10 +24,11 @@ class WorkTables:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame) -> tuple[DataFrame, str]:
+    def save(self, df: DataFrame, files: int | None = None) -> tuple[DataFrame, str]:
+        """Write a frame and read it again; a table known to be small goes into few ``files``."""
         self.n += 1
         path = f"{self.base}/{self.n}"
-        df.write.parquet(path)
+        (df.coalesce(files) if files else df).write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path), path
 
     def drop(self, *paths: str) -> None:

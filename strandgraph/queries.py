@@ -11,6 +11,7 @@ from strandgraph.functions.json import scalar
 from strandgraph.graph import BOTH, INCOMING, Graph
 from strandgraph.operators import community, compare, component, cuts, flow, match, rank, reach, slicing, trace, traverse, vector
 from strandgraph.operators.kv import KvFrame
+from strandgraph.plans.fixpoint import WorkTables
 from strandgraph.plans.planner import execute
 from strandgraph.sources import dump, tables
 from strandgraph.streaming.feed import NODE
@@ -517,12 +518,20 @@ def dominance_frontier(spark, d):
     return flow.dominance_frontiers(tables.user_flows(spark, d))
 
 
-@query()
+@query("SELECT cfg, src AS controller, dst AS dependent FROM f", _DAGS)
 def control_dependence(spark, d):
+    """In an acyclic graph no node post-dominates its successor, so every edge counts."""
     return flow.control_dependence(tables.user_dags(spark, d))
 
 
-@query()
+@query(
+    _ENTRY + _DOM + """, back AS (SELECT f.cfg, f.dst AS header, f.src AS tail FROM f JOIN live ON live.cfg = f.cfg AND live.id = f.src JOIN dom ON dom.cfg = f.cfg AND dom.id = f.src AND dom.dominator = f.dst WHERE f.src <> f.dst),
+body AS (SELECT cfg, header, tail AS id FROM back UNION SELECT b.cfg, b.header, f.src FROM body b JOIN f ON f.cfg = b.cfg AND f.dst = b.id JOIN live ON live.cfg = f.cfg AND live.id = f.src WHERE f.src <> b.header)
+SELECT cfg, header, id, CAST((SELECT count(*) FROM back WHERE back.cfg = body.cfg AND back.header = body.header) AS BIGINT) AS back_edges,
+  CAST((SELECT count(*) FROM body o WHERE o.cfg = body.cfg AND o.id = body.header) AS BIGINT) AS depth FROM body""",
+    STEPS,
+    recursive=True,
+)
 def natural_loops(spark, d):
     return flow.natural_loops(tables.user_flows(spark, d))
 
@@ -645,7 +654,12 @@ def diamond_iso(spark, d):
 )
 def graph_diff(spark, d):
     g = tagged(spark, d)
-    return compare.graph_diff(g, g.delete_nodes(g.nodes_by_label("Debtor")))
+    return compare.graph_diff(g, g.delete_nodes(_debtors(g)))
+
+
+def _debtors(g: Graph) -> DataFrame:
+    """Ids with the Debtor label, written once, since the difference reads them several times."""
+    return WorkTables(g.spark, "debtors").save(g.nodes_by_label("Debtor").select("id"))[0]
 
 
 @query()
@@ -686,7 +700,7 @@ def vector_clocks(spark, d):
 # -- vectors ---------------------------------------------------------------------------------------
 
 _DIST = {
-    "cosine": "(1 - list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))))) / 2",
+    "cosine": "abs(1 - list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i])) / (sqrt(list_sum(list_transform(a.e, lambda x: x * x))) * sqrt(list_sum(list_transform(b.e, lambda x: x * x))))) / 2",
     "euclidean": "sqrt(list_sum(list_transform(range(1, 65), lambda i: (a.e[i] - b.e[i]) * (a.e[i] - b.e[i]))))",
     "dot": "-list_sum(list_transform(range(1, 65), lambda i: a.e[i] * b.e[i]))",
     "manhattan": "list_sum(list_transform(range(1, 65), lambda i: abs(a.e[i] - b.e[i])))",
@@ -712,7 +726,7 @@ def _search(spark, d, metric: str, **filters) -> DataFrame:
 
 @query(_knn("cosine"), _X)
 def knn_cosine(spark, d):
-    return _search(spark, d, "cosine")
+    return _search(spark, d, "cosine").withColumn("distance", F.abs("distance"))
 
 
 @query(_knn("euclidean"), _X)
@@ -766,7 +780,7 @@ def change_feed_counts(spark, d):
     from strandgraph.streaming.feed import changes_between
 
     g = tagged(spark, d)
-    return changes_between(g, g.delete_nodes(g.nodes_by_label("Debtor")), 1).groupBy("event_type").agg(F.count("*").alias("n"))
+    return changes_between(g, g.delete_nodes(_debtors(g)), 1).groupBy("event_type").agg(F.count("*").alias("n"))
 
 
 @query("SELECT date_trunc('hour', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2", "one AS (SELECT 1)")
