@@ -9,11 +9,22 @@ from pyspark.sql import DataFrame
 
 from strandgraph.plans.fixpoint import WorkTables
 
-__all__ = ["WorkTables", "map_rows", "texts_of"]
+__all__ = ["WorkTables", "map_rows", "slices", "texts_of"]
+
+
+#: Rows handled at once in a worker.  Arrow batches hold up to 64 MB of texts; working on slices keeps their python forms small.
+SLICE_ROWS = 1000
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most SLICE_ROWS rows; empty ones are left out."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 def map_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """Apply ``build()`` once per task, then its result to every Arrow batch.
+    """Apply ``build()`` once per task, then its result to every slice of the Arrow batches.
 
     ``build`` loads what a worker needs (vocabularies, weights), so a retried
     task on another executor starts from nothing but its input split.
@@ -21,9 +32,8 @@ def map_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.Re
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = build()
-        for batch in batches:
-            if batch.num_rows:
-                yield step(batch)
+        for piece in slices(batches):
+            yield step(piece)
 
     return df.mapInArrow(run, schema)
 

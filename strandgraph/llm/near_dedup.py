@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandgraph.llm.common import WorkTables, map_rows
+from strandgraph.llm.common import WorkTables, map_rows, slices
 from strandgraph.operators.component import star_components
 
 SHINGLE, THRESHOLD = 5, 75
@@ -263,7 +263,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, work: WorkTables) -> DataFrame:
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links of each group; its rows come sorted, the first member's text, which has no b, in front."""
     now, heads = None, []
-    for batch in batches:
+    for batch in slices(batches):
         lefts, rights = [], []
         for a, salt, b, text in zip(*(batch.column(k).to_pylist() for k in ("a", "salt", "b", "text")), strict=True):
             if (a, salt) != now:
@@ -295,7 +295,7 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return block_pairs(**g)
 
     last, lefts, rights = None, [], []
-    for batch in batches:
+    for batch in slices(batches):
         cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "c", "n", "role", "is_hub", "band", "block")}
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
         key = np.stack([cols.pop("band"), cols.pop("block")])
@@ -396,7 +396,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         component = star_components(links2, work)
     named = members.join(component, "node", "left").select("low", "high", F.coalesce("component", "node").alias("component"))
     joined = rows.select("doc_id", "low", "high", F.col("n").alias("n_shingles")).join(named, ["low", "high"], "left")
-    found = F.coalesce("component", "doc_id")
+    found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "low", "high", "n_shingles", found.alias("component_id"), (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == found, F.lit(False))).alias("kept"))
 
 

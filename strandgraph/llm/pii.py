@@ -59,20 +59,26 @@ ALIKE = re.compile("[" + "".join(map(re.escape, TABLE)) + "]+")
 _DIGIT = r"(?:\b(?:" + "|".join(sorted(DIGIT_WORDS, key=len, reverse=True)) + r")\b|[0-9])"
 #: Seven or more digits in a row; at least MIN_WORDS must be words.
 MIN_WORDS = 3
-SPELLED = re.compile(rf"(?i:(?<![\w]){_DIGIT}(?:[\x20,.-]{{0,2}}{_DIGIT}){{6,}})(?![\w])")
+SPELLED = re.compile(rf"(?i:(?<![\w])(?:plus\x20)?{_DIGIT}(?:[\x20,.-]{{0,2}}{_DIGIT}){{6,}})(?![\w])")
 WORD_OR_DIGIT = re.compile(rf"(?i:{_DIGIT})")
 AT_WORDS = r"(?:at|arroba|arobase|klammeraffe)"
 DOT_WORDS = r"(?:dot|punkt|point|punto)"
-_DOT = rf"(?:\x20?[\[({{<]\x20?(?:{DOT_WORDS}|\.)\x20?[\])}}>]\x20?|\x20{DOT_WORDS}\x20)"
+_DOT = rf"(?:\x20?[\[({{<]\x20?(?:{DOT_WORDS}|\.)\x20?[\])}}>]\x20?|\x20{DOT_WORDS}\x20|[_-]{DOT_WORDS}[_-])"
+# Last labels that a host of bare words must have; such as are common words are left out.
+TOP = "com|org|net|edu|gov|int|mil|info|biz|io|co|ai|app|dev|de|fr|es|uk|eu|ca|au|ch|nl|pl|ru|cn|jp|br|mx|ar|example|test|invalid|local"
 #: A bracketed "at", or a bare one that a disguised dot follows within the host.
 DISGUISED = re.compile(
-    rf"(?i:(?<=[A-Za-z0-9_%+-])(?P<at>\x20?[\[({{<]\x20?(?:{AT_WORDS}|@)\x20?[\])}}>]\x20?(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])|\x20{AT_WORDS}\x20(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9])|@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9])))"
+    rf"(?i:(?<=[A-Za-z0-9_%+-])(?P<at>\x20?[\[({{<]\x20?(?:{AT_WORDS}|@)\x20?[\])}}>]\x20?(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])|(?:\x20{AT_WORDS}\x20|[_-]{AT_WORDS}[_-])(?=[A-Za-z0-9]+(?:(?:\.|{_DOT})[A-Za-z0-9]+){{0,5}}{_DOT}(?:{TOP})(?![\w]))|@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9])))"
 )
 DOT = re.compile(rf"(?i:(?<=[A-Za-z0-9-]){_DOT}(?=[A-Za-z0-9]))")
+_GROUP = rf"{_DIGIT}(?:[\x20-]?{_DIGIT}){{0,2}}"
+#: Four groups of digits or digit words between dots of any form.
+DOTTED = re.compile(rf"(?i:(?<![\w]){_GROUP}(?:(?:\.|{_DOT}){_GROUP}){{3}})(?![\w])")
+ANY_DOT = re.compile(rf"(?i:{_DOT}|\.)")
 HOST_TAIL = re.compile(rf"(?i:[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*)")
 LOCAL_DOTS = re.compile(rf"(?i:[A-Za-z0-9%+-]+(?:{_DOT}[A-Za-z0-9%+-]+)+\Z)")
 BRACKETED = re.compile(rf"(?i:[\[({{<]\x20?(?:{AT_WORDS}|{DOT_WORDS}|[@.])\x20?[\])}}>])")
-BARE = (" dot ", " punkt ", " point ", " punto ")
+BARE = (" dot ", " punkt ", " point ", " punto ", "_dot_", "-dot-")
 
 
 def maybe_spelled(low: str) -> bool:
@@ -193,7 +199,17 @@ def spelled_edits(text: str) -> list[tuple[int, int, str]]:
         if sum(p in DIGIT_WORDS for p in parts) < MIN_WORDS:
             continue
         digits = "".join(DIGIT_WORDS.get(p, p) for p in parts)
-        edits.append((m.start(), m.end(), digits))
+        edits.append((m.start(), m.end(), "+" * m[0].lower().startswith("plus") + digits))
+    return edits
+
+
+def dotted_edits(text: str) -> list[tuple[int, int, str]]:
+    """Plain numbers and dots for addresses with disguised dots or spelled digits."""
+    edits = []
+    for m in DOTTED.finditer(text):
+        parts = ["".join(DIGIT_WORDS.get(w[0].lower(), w[0]) for w in WORD_OR_DIGIT.finditer(p)) for p in ANY_DOT.split(m[0])]
+        if (plain := ".".join(parts)) != m[0]:
+            edits.append((m.start(), m.end(), plain))
     return edits
 
 
@@ -211,6 +227,7 @@ def added_spans(text: str, base: set[tuple[int, int, int]]) -> set[tuple[int, in
     if spelled or alike:
         trace.apply(spelled_edits(trace.text))
     if disguised or alike:
+        trace.apply(dotted_edits(trace.text))
         trace.apply(disguise_edits(trace.text))
     found = set()
     if trace.tables:

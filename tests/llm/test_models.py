@@ -34,7 +34,7 @@ def test_toxicity_held_out(spark):
 
 def test_gaps_and_inserted_characters():
     sample = [(f"you {w} thing, really {w} indeed {i}", 1) for i in range(20) for w in ("idiot", "stupid", "moron")]
-    sample += [(f"a calm text about weather number {i} and trees and closing words", 0) for i in range(150)]
+    sample += [(f"you calm thing, really calm indeed {i}, a text about weather and trees and closing words", 0) for i in range(150)]
     model = toxicity.fit(sample)
     worst = lambda w: max([model.positive.get(x, 0) for x in model.words(w)[0]] if model.score([w]) is not None else [])
     for disguised in ("idiot", "i.d.i.o.t", "id-iot", "stuupid", "STUPID!", "s t u p i d", "mo*ron"):

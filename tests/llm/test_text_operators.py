@@ -152,6 +152,10 @@ def test_pii_base_spans_against_plain_patterns():
         ("jоhn@example.com", "email", "jоhn@example.com"),
         ("call ＋４４ ２０ ７９４６ ０９５８", "phone", None),
         ("host １９２.168.0.１", "ip", "１９２.168.0.１"),
+        ("from 192[.]168[.]0[.]7 on", "ip", "192[.]168[.]0[.]7"),
+        ("from one nine two dot one six eight dot zero dot seven on", "ip", "one nine two dot one six eight dot zero dot seven"),
+        ("ring plus four four two zero seven nine four six zero nine on", "phone", "plus four four two zero seven nine four six zero nine"),
+        ("mail jane_at_mail_dot_org now", "email", "jane_at_mail_dot_org"),
         ("a\u200bb@c.de", "email", "a\u200bb@c.de"),
     ],
 )
@@ -164,7 +168,7 @@ def test_deobfuscation_maps_back(text, kind, hidden):
         assert (kind, hidden) in added and set(base) <= set(every)
 
 
-@pytest.mark.parametrize("text", ["look at the dot on the map", "we met at noon at home", "one of two or three", "un an et deux mois à la fois", "Ünïcödé wörds"])
+@pytest.mark.parametrize("text", ["look at the dot on the map", "we met at noon at home", "one of two or three", "un an et deux mois à la fois", "Ünïcödé wörds", "a look-at-me.com page", "at one point in time", "version 1.2 dot 3"])
 def test_clean_texts_stay_clean(text):
     assert pii.spans_of(text) == ([], [])
 
