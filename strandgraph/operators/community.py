@@ -70,7 +70,7 @@ def cycles(g: Graph, limit: int = 100, longest: int = 50) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found = local.simple_cycles(graph_of(pdf), limit, longest)
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "position": range(len(found)), "cycle": found})
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "position": pd.Series(range(len(found)), dtype="int64"), "cycle": pd.Series(found, dtype=object)})
 
     return parts.groupBy("component").applyInPandas(run, "component long, position long, cycle array<long>")
 
@@ -81,7 +81,7 @@ def cycle_basis(g: Graph, max_cycles: int | None = None, max_length: int | None
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         found, skipped = local.cycle_basis(graph_of(pdf), max_cycles, max_length, max_per_component)
-        return pd.DataFrame({"component": pdf["component"].iloc[0], "cycle": found, "skipped": skipped})
+        return pd.DataFrame({"component": pdf["component"].iloc[0], "cycle": pd.Series(found, dtype=object), "skipped": skipped})
 
     basis = parts.groupBy("component").applyInPandas(run, "component long, cycle array<long>, skipped long")
     return basis.orderBy("component", "cycle").limit(max_cycles) if max_cycles is not None else basis

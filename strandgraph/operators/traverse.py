@@ -113,7 +113,7 @@ def bfs_iter(g: Graph, start: int) -> Iterator[int]:
 def dfs_traversal(g: Graph, start: int) -> DataFrame:
     """(position, id) in stack order without the start; one task walks what the start reaches."""
     live = bfs_levels(g, [start]).select("id")
-    edges = arcs(g.edges).select("src", "dst").join(live.withColumnRenamed("id", "src"), "src", "left_semi")
+    edges = arcs(g.edges).select("src", "dst").join(live.withColumnRenamed("id", "src"), "src", "left_semi").withColumn("walk", F.lit(0))
 
     def walk(pdf):
         import pandas as pd
@@ -121,7 +121,7 @@ def dfs_traversal(g: Graph, start: int) -> DataFrame:
         order = local.dfs_order(local.adjacency([start], zip(pdf["src"], pdf["dst"], strict=True)), start)[1:]
         return pd.DataFrame({"position": range(len(order)), "id": order}, dtype="int64")
 
-    return edges.groupBy(F.lit(1)).applyInPandas(walk, "position long, id long").orderBy("position")
+    return edges.groupBy("walk").applyInPandas(walk, "position long, id long").orderBy("position")
 
 
 __all__ = ["BOTH", "INCOMING", "OUTGOING", "bfs", "bfs_filtered", "bfs_frontier", "bfs_iter", "bfs_levels", "dfs_traversal", "has_path", "k_hop", "multi_source", "shortest_path", "shortest_paths"]
