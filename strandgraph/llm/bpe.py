@@ -21,6 +21,7 @@ import unicodedata
 from functools import lru_cache
 from hashlib import sha256
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -29,8 +30,8 @@ from strandgraph.llm.common import map_rows, texts_of
 END = "</w>"
 #: Unicode White_Space, spelled out so that no library's reading of \s matters.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-#: A cache is emptied at so many entries; it never changes a result.
-CACHE = 600_000
+#: Entries of one cache generation; caching never changes a result.
+CACHE = 150_000
 NEVER = 1 << 60
 
 
@@ -55,16 +56,19 @@ def char_class(initial: str) -> str:
 
 
 class Memo(dict):
-    """A bounded cache of a function of one key; it is emptied when full."""
+    """A bounded cache of a function of one key: when it is full, it becomes the old generation, which is looked at once more."""
 
     def __init__(self, fill):
         super().__init__()
-        self.fill = fill
+        self.fill, self.old = fill, {}
 
     def __missing__(self, key):
-        value = self.fill(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.fill(key)
         if len(key) <= 64:
             if len(self) >= CACHE:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value
@@ -88,7 +92,8 @@ class WordBpe:
         self.alphabet = byte_alphabet()
         bodies = (t.removesuffix(END) for t in self.vocab)
         self.joined = {t[i : i + 2] for t in bodies for i in range(len(t) - 1)}
-        self.cache = Memo(self.word_piece)
+        self.spoken = [self.names.get(i, "").encode("utf-8") for i in range(max(self.names) + 1)]
+        self.cache = Memo(self.word_bytes)
         self.fragments = Memo(lambda key: self.merge(key[1:], key[0] == "$"))
 
     def normalize(self, text: str) -> str:
@@ -147,22 +152,25 @@ class WordBpe:
             return list(self.merge(last, True))
         return [i for fragment in head for i in self.fragments["-" + fragment]] + list(self.fragments["$" + last])
 
-    def word_piece(self, word: str) -> tuple[bytes, bytes]:
+    def word_bytes(self, word: str) -> bytes:
         ids = self.word_ids(word)
-        return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode("utf-8")
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def pieces(self, text: str) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian bytes, decoded tokens in UTF-8) of each word and special token."""
+    def encode_bytes(self, text: str) -> bytes:
+        """The ids as little-endian unsigned 32-bit integers."""
         parts = self.split_special.split(text) if self.split_special else [text]
         out = list(map(self.cache.__getitem__, self.words.findall(self.normalize(parts[0]))))
         for special, part in zip(parts[1::2], parts[2::2], strict=True):
-            out.append((struct.pack("<I", self.special[special]), special.encode()))
+            out.append(struct.pack("<I", self.special[special]))
             out += map(self.cache.__getitem__, self.words.findall(self.normalize(part)))
-        return out
+        return b"".join(out)
 
     def encode(self, text: str) -> list[int]:
-        data = b"".join(p[0] for p in self.pieces(text))
-        return list(struct.unpack(f"<{len(data) // 4}I", data))
+        return np.frombuffer(self.encode_bytes(text), dtype="<u4").tolist()
+
+    def decode_bytes(self, ids: list[int]) -> bytes:
+        """Without a decoder in the file, tokens are joined by one space."""
+        return b" ".join(map(self.spoken.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """Without a decoder in the file, tokens are joined by one space; unknown ids are left out."""
@@ -190,11 +198,10 @@ def encode_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             counts, ids, decoded = [], [], []
             for text in texts_of(batch):
-                pieces = bpe.pieces(text)
-                data = b"".join([p[0] for p in pieces])
+                data = bpe.encode_bytes(text)
                 counts.append(len(data) // 4)
                 ids.append(sha256(data).hexdigest())
-                decoded.append(sha256(b" ".join([p[1] for p in pieces])).hexdigest())
+                decoded.append(sha256(bpe.decode_bytes(np.frombuffer(data, dtype="<u4").tolist())).hexdigest())
             return pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 [id_col, "n_tokens", "ids_sha256", "decoded_sha256"],

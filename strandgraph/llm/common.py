@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame
 
 from strandgraph.plans.fixpoint import WorkTables
 
-__all__ = ["WorkTables", "map_rows", "slices", "texts_of"]
+__all__ = ["WorkTables", "map_batches", "map_rows", "slices", "texts_of"]
 
 
-#: Rows handled at once in a worker.  Arrow batches hold up to 64 MB of texts; working on slices keeps their python forms small.
+#: Rows handled at once in a worker.  Working on slices keeps their python forms small.
 SLICE_ROWS = 1000
 
 
@@ -23,6 +23,19 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(at, SLICE_ROWS)
 
 
+#: Upper bound of an Arrow batch.  The JVM holds a few copies of one for each running task, outside its heap.
+BATCH_BYTES = 8 << 20
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``mapInArrow`` with smaller batches: the session's bound is lowered, never raised, and stays lowered for the lazy plan."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = conf.get(key)
+    if not now.rstrip("b").isdigit() or int(now.rstrip("b")) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(run, schema)
+
+
 def map_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
     """Apply ``build()`` once per task, then its result to every slice of the Arrow batches.
 
@@ -35,7 +48,7 @@ def map_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.Re
         for piece in slices(batches):
             yield step(piece)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def texts_of(batch: pa.RecordBatch, column: int | str = 1) -> list[str]:

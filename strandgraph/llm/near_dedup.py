@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandgraph.llm.common import WorkTables, map_rows, slices
+from strandgraph.llm.common import WorkTables, map_batches, map_rows, slices
 from strandgraph.operators.component import star_components
 
 SHINGLE, THRESHOLD = 5, 75
@@ -257,7 +257,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, work: WorkTables) -> DataFrame:
     )
     heads = groups.join(texts.withColumnRenamed("node", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), "text")
     dealt = heads.unionByName(members).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
-    return dealt.mapInArrow(compared, "a long, b long")
+    return map_batches(dealt, compared, "a long, b long")
 
 
 def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +389,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .select("band", "block", "at", "node", "c", "n", "role", "is_hub")
     )
     dealt = dealt.join(classes.select("node", "sketch"), "node")
-    crossed = dealt.repartition("band", "block").sortWithinPartitions("band", "block").mapInArrow(crossing, "a long, b long")
+    crossed = map_batches(dealt.repartition("band", "block").sortWithinPartitions("band", "block"), crossing, "a long, b long")
     more, _ = work.save(crossed.distinct().join(likely, ["a", "b"], "left_anti").join(likely.toDF("b", "a"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links2, _ = work.save(links.union(confirmed(more, text_of, work)).distinct())

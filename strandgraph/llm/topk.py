@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandgraph.llm.common import WorkTables
+from strandgraph.llm.common import WorkTables, map_batches
 
 SCALE = 1024
 QUERY_BLOCK, SAMPLE, PIVOTS, STEP = 4096, 2048, 48, 256
@@ -165,7 +165,7 @@ def _search(vectors: DataFrame, rows: list, sample: list, size: int, k: int) ->
                 [pa.array(np.repeat(q_ids, sizes)), pa.array(np.concatenate(best.id)), pa.array(np.concatenate(best.score))], ["query_id", "vec_id", "score"]
             )
 
-    return vectors.mapInArrow(run, SCHEMA)
+    return map_batches(vectors, run, SCHEMA)
 
 
 ORACLE = """
