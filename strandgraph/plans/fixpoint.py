@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -18,11 +19,31 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+_folders: set[str] = set()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+@atexit.register
+def _clean_up() -> None:
+    """Remove this process's work tables, if its session still runs; results read from them are gone with it."""
+    spark = SparkSession.getActiveSession() if _folders else None
+    for path in list(_folders) if spark is not None else ():
+        try:
+            _delete(spark, path)
+        except Exception:  # the gateway may be closing already
+            return
+
+
 class WorkTables:
-    """Tables written to the shared folder to cut lineage; ``drop`` removes one early."""
+    """Tables written to the shared folder to cut lineage; ``drop`` removes one early, the end of the process the rest."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
+        _folders.add(self.base)
 
     def save(self, df: DataFrame, files: int | None = None) -> tuple[DataFrame, str]:
         """Write a frame and read it again; a table known to be small goes into few ``files``."""
@@ -33,8 +54,7 @@ class WorkTables:
 
     def drop(self, *paths: str) -> None:
         for path in paths:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(self.spark, path)
 
 
 #: Frontiers of at most so many rows are broadcast to the edges; their size is counted as each level is written.
