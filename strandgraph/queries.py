@@ -313,6 +313,11 @@ def has_path(spark, d):
     return spark.createDataFrame([(traverse.has_path(tables.trade(spark, d), 2_000_002, 3_000_001),)], "yes boolean")
 
 
+@query()
+def dfs_traversal(spark, d):
+    return traverse.dfs_traversal(tables.trade(spark, d), 2_000_002)
+
+
 # -- reachability and acyclic graphs ----------------------------------------------------
 
 _REACH = ", r AS (SELECT CAST({start} AS BIGINT) AS id UNION SELECT {to} FROM r JOIN e ON {fr} = r.id)"
@@ -440,6 +445,11 @@ def label_propagation(spark, d):
     return community.label_propagation(tables.geography(spark, d), 10)
 
 
+@query()
+def label_propagation_synchronous(spark, d):
+    return community.label_propagation_synchronous(tables.geography(spark, d), 5)
+
+
 @query()
 def louvain(spark, d):
     return community.louvain(tables.geography(spark, d), 10)
@@ -518,6 +528,18 @@ def dominance_frontier(spark, d):
     return flow.dominance_frontiers(tables.user_flows(spark, d))
 
 
+@query(
+    _ENTRY + _DOM + """, df AS (SELECT DISTINCT d.cfg, d.dominator AS id, f.dst AS frontier FROM dom d JOIN live USING (cfg, id) JOIN f ON f.cfg = d.cfg AND f.src = d.id
+  WHERE f.dst = d.dominator OR NOT EXISTS (SELECT 1 FROM dom x WHERE x.cfg = d.cfg AND x.id = f.dst AND x.dominator = d.dominator)),
+idf AS (SELECT cfg, id FROM v WHERE id IN (101, 103) UNION SELECT df.cfg, df.frontier FROM idf JOIN df ON df.cfg = idf.cfg AND df.id = idf.id)
+SELECT cfg, id FROM idf""",
+    STEPS,
+    recursive=True,
+)
+def iterated_frontier(spark, d):
+    return flow.iterated_dominance_frontier(tables.user_flows(spark, d), [101, 103]).select("cfg", "id")
+
+
 @query("SELECT cfg, src AS controller, dst AS dependent FROM f", _DAGS)
 def control_dependence(spark, d):
     """In an acyclic graph no node post-dominates its successor, so every edge counts."""
@@ -616,6 +638,12 @@ def partition_cut_edges(spark, d):
     return cuts.cut_edges(g, g.nodes.select("id", (F.col("kind") == "Region").cast("int").alias("part")))
 
 
+@query()
+def partition_greedy(spark, d):
+    g = tables.geography(spark, d)
+    return cuts.partition_greedy(g, g.nodes.select("id", (F.col("kind") == "Region").cast("int").alias("part")), 20)
+
+
 @query()
 def partition_kway(spark, d):
     return cuts.partition_kway(tables.geography(spark, d), 4)
