@@ -14,7 +14,7 @@
    small-star.  Buckets that still hold several components are searched again:
    each class outside the hub's component is held against the members of the
    other components.  A bound from their overlaps with the hub and the sketches
-   leaves few pairs, each taken up in the first band it shares only; the full
+   leaves few pairs, each taken up in the first band whose key it shares; the full
    sets decide about them too.  So no link between different texts is lost to
    the star, and nothing inside a component is compared twice.  A large bucket
    is dealt in blocks of members; no pairs but the surviving ones are emitted.
@@ -165,6 +165,11 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+def sketch_of(row: np.ndarray) -> bytes:
+    """One byte of each minimum, mixed first: minima of large sets are small, so their own bits take few values."""
+    return ((row * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
+
+
 def describe(texts: list[str]) -> tuple[list, list, list, list, list]:
     """(digest halves, set sizes, band keys, sketches) of texts; empty sets have null digests."""
     low, high, sizes, bands, sketches = [], [], [], [None] * len(texts), [None] * len(texts)
@@ -177,7 +182,7 @@ def describe(texts: list[str]) -> tuple[list, list, list, list, list]:
             keys = band_keys(rows)
             for i, key, row in zip(members, keys, rows, strict=True):
                 bands[i] = key
-                sketches[i] = (row >> np.uint32(9)).astype(np.uint8).tobytes()
+                sketches[i] = sketch_of(row)
         group, members, total = [], [], 0
 
     for i, text in enumerate(texts):
@@ -191,7 +196,7 @@ def describe(texts: list[str]) -> tuple[list, list, list, list, list]:
         sizes.append(len(np.unique(s)))
         if len(s) > SLICE:
             row = minima_of(s)
-            bands[i], sketches[i] = band_keys(row)[0], (row[0] >> np.uint32(9)).astype(np.uint8).tobytes()
+            bands[i], sketches[i] = band_keys(row)[0], sketch_of(row[0])
             continue
         group.append(s)
         members.append(i)
@@ -298,6 +303,7 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "c", "n", "role", "is_hub", "band", "block")}
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
+        bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
         key = np.stack([cols.pop("band"), cols.pop("block")])
         cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
         for lo, hi in zip([0, *cut], [*cut, len(sketch)], strict=True):
@@ -307,7 +313,7 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 lefts += a
                 rights += b
                 last = now
-            parts.append({k: v[lo:hi] for k, v in cols.items()} | {"sketch": sketch[lo:hi], "band_at": batch.column("at").to_numpy()[lo:hi]})
+            parts.append({k: v[lo:hi] for k, v in cols.items()} | {"sketch": sketch[lo:hi], "bands": bands[lo:hi], "band_at": batch.column("at").to_numpy()[lo:hi]})
         if len(lefts) > 10_000:
             yield pa.RecordBatch.from_arrays([pa.array(lefts, pa.int64()), pa.array(rights, pa.int64())], ["a", "b"])
             lefts, rights = [], []
@@ -316,7 +322,7 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(lefts + a, pa.int64()), pa.array(rights + b, pa.int64())], ["a", "b"])
 
 
-def block_pairs(node, c, n, role, is_hub, sketch, band_at) -> tuple[list[int], list[int]]:
+def block_pairs(node, c, n, role, is_hub, sketch, bands, band_at) -> tuple[list[int], list[int]]:
     """The pairs of one block that the bounds leave."""
     hub = int(np.flatnonzero(is_hub)[0])
     seek, held = np.flatnonzero((role == 1) | (role == 2)), np.flatnonzero(role < 2)
@@ -339,13 +345,10 @@ def block_pairs(node, c, n, role, is_hub, sketch, band_at) -> tuple[list[int], l
         other = other[(100 * least >= THRESHOLD * most) & (100 * shared >= THRESHOLD * (n[other] + n[x] - shared))]
         for at in range(0, len(other), 4096):
             part = other[at : at + 4096]
-            same = sketch[part] == sketch[x]
-            near = same.mean(axis=1) >= ESTIMATE
-            part, same = part[near], same[near]
+            part = part[(sketch[part] == sketch[x]).mean(axis=1) >= ESTIMATE]
             if len(part):
-                # The pair belongs to the first band that it shares.
-                first = same[:, :BANDED].reshape(len(part), BANDS, ROWS).all(axis=2).argmax(axis=1)
-                part = part[first == band]
+                # The pair belongs to the first band whose key it shares; bytes of the sketches may agree where keys do not.
+                part = part[(bands[part] == bands[x]).argmax(axis=1) == band]
                 lefts += np.minimum(node[part], node[x]).tolist()
                 rights += np.maximum(node[part], node[x]).tolist()
     return lefts, rights
@@ -388,7 +391,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .withColumn("role", F.when(outside, F.when(F.col("block") == F.col("own"), 1).otherwise(2)).when(F.col("block") == F.col("own"), 0).otherwise(3))
         .select("band", "block", "at", "node", "c", "n", "role", "is_hub")
     )
-    dealt = dealt.join(classes.select("node", "sketch"), "node")
+    dealt = dealt.join(classes.select("node", "sketch", "bands"), "node")
     crossed = map_batches(dealt.repartition("band", "block").sortWithinPartitions("band", "block"), crossing, "a long, b long")
     more, _ = work.save(crossed.distinct().join(likely, ["a", "b"], "left_anti").join(likely.toDF("b", "a"), ["a", "b"], "left_anti"))
     if not more.isEmpty():

@@ -185,3 +185,19 @@ def test_sketch_estimates(spark):
     assert (near_dedup.minima_of(long) == near_dedup.minima([long])).all()
     data = ("word " * 300_000 + "x").encode()
     assert (near_dedup.words_of(data) == near_dedup.word_hashes(np.frombuffer(data, np.uint8))[0]).all()
+
+
+def test_pairs_belong_to_a_band_they_share():
+    sketch = np.tile(np.arange(near_dedup.HASHES, dtype=np.int64).astype(np.uint8), (2, 1))
+    sketch[1, 20 * near_dedup.ROWS :: 5] += 1
+    bands = np.stack([np.arange(near_dedup.BANDS), np.arange(near_dedup.BANDS)])
+    bands[1, :7] += 1000  # the bytes agree in the bands before the first shared one
+    role, hub = np.array([0, 1]), np.array([True, False])
+    block = lambda at: near_dedup.block_pairs(np.array([3, 5]), np.array([3, 5]), np.array([90, 90]), role, hub, sketch, bands, np.array([at, at]))
+    assert [block(at) for at in (0, 7, 8)] == [([], []), ([3], [5]), ([], [])]
+
+
+def test_sketch_bytes_of_small_minima():
+    r = np.random.default_rng(3)
+    a, b = (np.frombuffer(near_dedup.sketch_of(r.integers(0, 4000, 20_000, dtype=np.uint32)), np.uint8) for _ in range(2))
+    assert (a == b).mean() < 0.01
