@@ -3,9 +3,11 @@
 The base kinds are regular expressions (``assign``, ``access``, ``hex``).  The
 method adds spans of kind ``random``: a long run of credential characters whose
 characters-per-token ratio under a public tiktoken vocabulary is low, because
-byte-pair merges learned from prose do not apply to random strings.  Runs that
-are known digests or identifiers are excluded first: hexadecimal runs of digest
-length, UUIDs, dates and numbers, URLs and paths, and delimited words.
+byte-pair merges learned from prose do not apply to random strings.  A run ends
+at a dot, so each dotted part of a token is tested by itself; hosts of URLs are
+left out, and what follows them is tested part by part.  Hexadecimal runs of
+digest length, UUIDs, dates and numbers are excluded.  Words and names joined
+by separators count as identifiers only if their letters cost few tokens.
 
 Defined results: a null text counts as empty (no spans, digest of the empty
 string); empty tables give empty results; repeated rows give repeated results;
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import base64
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 from hashlib import sha256
 
@@ -34,11 +37,16 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
 MIN_ASSIGNED = 6
 
-RUN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{16,}")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
 #: Words, or a word with a number behind it, joined by single separators.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/=]*")
+URL = re.compile(r"""://(?:[^\s/?#@"'<>]*+@)?([^\s/?#"'<>]*)[^\s"'<>]*""")
+PART = re.compile(r"[A-Za-z0-9+_-]{16,}")
+LETTERS = re.compile(r"[A-Za-z]+")
+#: Letters of words have more characters per token than this, random ones about 1.3; fewer than LEAST_LETTERS decide nothing.
+WORD_RATIO, LEAST_LETTERS = 1.75, 8
 CAMEL = re.compile(r"[A-Za-z]?[a-z]*(?:[A-Z][a-z]{2,})+[0-9]{0,4}")
 
 
@@ -68,24 +76,41 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def excluded(run: str) -> bool:
-    """Known digests and identifiers, and runs without both a letter and a digit."""
-    return (
-        run.isdigit()
-        or run.isalpha() and (run.islower() or run.isupper() or run.istitle())
-        or bool(UUID.fullmatch(run) or DIGEST.fullmatch(run) or IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run))
-    )
+def excluded(run: str, enc) -> bool:
+    """Known digests, numbers, and identifiers whose letters are not random."""
+    if run.isdigit() or UUID.fullmatch(run) or DIGEST.fullmatch(run):
+        return True
+    if not (IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run)):
+        return False
+    words = LETTERS.findall(run)
+    size = sum(map(len, words))
+    return size < LEAST_LETTERS or size > WORD_RATIO * sum(len(enc.encode_ordinary(w)) for w in words)
+
+
+def runs(text: str) -> Iterator[tuple[int, int]]:
+    """Start and end of each run; of a URL, those of its parts outside the host."""
+    urls = URL.finditer(text) if "://" in text else iter(())
+    url = next(urls, None)
+    for m in RUN.finditer(text):
+        start, end = m.span()
+        while url and url.end() <= start:
+            url = next(urls, None)
+        if not url or start < url.start():
+            yield start, end
+        else:
+            host, stop = url.span(1)
+            for a, b in ((start, min(end, host)), (max(start, stop), end)):
+                if b - a >= 16:
+                    yield from (p.span() for p in PART.finditer(text, a, b))
 
 
 def random_spans(text: str, enc, max_ratio: float) -> list[tuple[int, int, int]]:
     """Runs that cost many tokens for their length."""
     found = []
-    for m in RUN.finditer(text):
-        run = m[0]
-        if excluded(run) or text[max(0, m.start() - 3) : m.start()] == "://":
-            continue
-        if len(run) <= max_ratio * len(enc.encode_ordinary(run)):
-            found.append((m.start(), 3, m.end()))
+    for start, end in runs(text):
+        run = text[start:end]
+        if not excluded(run, enc) and len(run) <= max_ratio * len(enc.encode_ordinary(run)):
+            found.append((start, 3, end))
     return found
 
 

@@ -54,6 +54,20 @@ def test_token_efficiency():
         assert found(f"see {clean} here") == []
 
 
+def test_dotted_parts_urls_and_random_letters():
+    enc = secret_scan.encoding(secret_scan.vocabulary_path())
+    found = lambda t: [t[a:b] for a, k, b in secret_scan.random_spans(t, enc, 2.4)]
+    jwt = ["eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9", "eyJzdWIiOiIxMjM0NTY3ODkwIiwibmFtZSI6IkpvaG4ifQ", "SflKxwRJSMeKKF2QT4fwpMeJf36POk6yJVadQssw5c"]
+    assert found("jwt " + ".".join(jwt)) == jwt
+    assert found("SG.kJ8sQz2LmX9pRt4VwB7n1A.Zq3xW8vT5nK2mB7yL4cR9dF6hJ1pS0gA") == ["kJ8sQz2LmX9pRt4VwB7n1A", "Zq3xW8vT5nK2mB7yL4cR9dF6hJ1pS0gA"]
+    assert found("at the end.kJ8sQz2LmX9pRt4VwB7n") == ["kJ8sQz2LmX9pRt4VwB7n"]
+    for token in ("qzjxkvwpbnmfhgtdrlcyqzjxkvwp", "XQZJKWVPLMNBTRFGHDXQ", "qzxj-8391-kvwp-2047"):
+        assert found(f"key {token} end") == [token]
+    assert found("https://hooks.example.com/services/kJ8sQz2LmX9pRt4VwB7n?x=1") == ["kJ8sQz2LmX9pRt4VwB7n"]
+    for clean in ("https://a1b2c3d4e5f6g7h8.x9y8z7w6v5u4t3s2r1q0.net/index/page", "https://example.com/2024/01/31/title-of-the-long-article", "2024-01-31_23-59-59", "Wait.Internationalization", "ADMINISTRATION_RESPONSIBILITIES"):
+        assert found(f"see {clean} here") == []
+
+
 def test_secret_rows(odd, none):
     rows = secret_scan.scan_secrets(odd).collect()
     assert len(rows) == len(ODD)
