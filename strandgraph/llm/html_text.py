@@ -9,9 +9,10 @@ other), so the suffix array must not remove it.
 A page without a main element gets the same structural cut, and its host's
 suffix array decides about what is left: the token streams of a host's pages
 are concatenated, their suffixes sorted by their first ``WINDOW`` tokens, and
-every run of equal beginnings over at least ``least`` distinct pages is a
-repeated substring.  Blocks whose tokens are mostly covered go, unique runs
-stay.  Hosts are dealt into shards of at most about ``SHARD`` pages; each shard
+every run of equal beginnings over at least ``LEAST_PAGES`` pages, whatever the
+size of the host, is a repeated substring.  Its tokens go, unique runs stay; a
+repeat that runs on into a block it covers by fewer than ``WINDOW`` tokens, and
+not whole, takes nothing of that block.  Hosts are dealt into shards of at most about ``SHARD`` pages; each shard
 sorts its own suffixes, only (host, beginning, number of pages) leaves it, and
 the counts are added up over the shards (which hold disjoint pages), so the
 result is that of one suffix array over the whole host.
@@ -35,7 +36,7 @@ from pyspark.sql import DataFrame, functions as F
 from strandgraph.llm.common import WorkTables, map_rows
 from strandgraph.llm.url_filter import host_of
 
-WINDOW, SHARD, LEAST_PAGES, LEAST_SHARE, COVERED = 5, 2000, 3, 0.02, 0.8
+WINDOW, SHARD, LEAST_PAGES = 5, 2000, 3
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -213,22 +214,31 @@ def shard_counts(pages: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"host": pages["host"].iloc[0], "shard": pages["shard"].iloc[0], "beginning": values, "pages": counts})
 
 
+def spread(at: np.ndarray, size: int) -> np.ndarray:
+    """Which of ``size`` tokens lie in a window that starts at one of ``at``."""
+    edge = np.zeros(size + 1, dtype=np.int64)
+    np.add.at(edge, at, 1)
+    np.add.at(edge, at + WINDOW, -1)
+    return np.cumsum(edge)[:size] > 0
+
+
 def shard_texts(pages: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-    """The texts of one shard's pages without the blocks that repeated substrings cover."""
+    """The texts of one shard's pages without the tokens that repeated substrings cover."""
     known = np.sort(repeated["beginning"].to_numpy(dtype=np.int64))
     texts = []
     for blocks in pages["blocks"]:
         blocks = list(blocks)
         ids, owner = token_ids(blocks)
         hit = np.isin(windows_of(ids), known)
-        covered = np.zeros(len(ids) + 1, dtype=np.int64)
         at = np.flatnonzero(hit)
-        np.add.at(covered, at, 1)
-        np.add.at(covered, at + WINDOW, -1)
-        inside = np.cumsum(covered)[: len(ids)] > 0
+        whole = spread(at, len(ids))
+        within = spread(at[owner[at] == owner[at + WINDOW - 1]], len(ids))
         size = np.bincount(owner, minlength=len(blocks))
-        share = np.bincount(owner, weights=inside, minlength=len(blocks)) / np.maximum(1, size)
-        texts.append("\n".join(b for b, s in zip(blocks, share, strict=True) if s < COVERED))
+        full = np.bincount(owner, weights=whole, minlength=len(blocks)) == size
+        stays = ~(within | full[owner])
+        first = np.concatenate([[0], np.cumsum(size)])
+        left = (b if stays[x:y].all() else " ".join(w for w, k in zip(b.split(), stays[x:y], strict=True) if k) for b, x, y in zip(blocks, first[:-1], first[1:], strict=True))
+        texts.append("\n".join(b for b in left if b))
     return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
@@ -267,8 +277,7 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     repeated = (
         counts.groupBy("host", "beginning")
         .agg(F.sum("pages").alias("pages"))
-        .join(sizes, "host")
-        .where(F.col("pages") >= F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("host_pages") * LEAST_SHARE)))
+        .where(F.col("pages") >= LEAST_PAGES)
         .select("host", "beginning")
     )
     known = counts.select("host", "shard", "beginning").join(repeated, ["host", "beginning"])

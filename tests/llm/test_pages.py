@@ -63,6 +63,15 @@ def test_suffix_array_removes_repeats(spark, monkeypatch, shard):
     assert "Home of our site" in got[50]["text"] and got[51]["text"] == "" and got[52]["n_chars"] == len(got[52]["text"])
 
 
+def test_repeats_of_few_pages_on_a_large_host(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "SHARD", 100)
+    notice = "<div>The council meets again on every second Monday</div>"
+    mixed = "<p>Read all our terms of use before you write to editor{} please</p>"
+    rows = [(i, f"http://s.org/{i}", f"<body>{notice * (i < 3)}{mixed.format(i)}<p>Story{i} a{i} b{i} c{i} d{i} e{i}</p></body>") for i in range(300)]
+    got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"editor{i} please\nStory{i} a{i} b{i} c{i} d{i} e{i}" for i in range(300)}
+
+
 def test_windows_against_brute_force():
     import random
 
