@@ -63,12 +63,25 @@ SPELLED = re.compile(rf"(?i:(?<![\w])(?:plus\x20)?{_DIGIT}(?:[\x20,.-]{{0,2}}{_D
 WORD_OR_DIGIT = re.compile(rf"(?i:{_DIGIT})")
 AT_WORDS = r"(?:at|arroba|arobase|klammeraffe)"
 DOT_WORDS = r"(?:dot|punkt|point|punto)"
-_DOT = rf"(?:\x20?[\[({{<]\x20?(?:{DOT_WORDS}|\.)\x20?[\])}}>]\x20?|\x20{DOT_WORDS}\x20|[_-]{DOT_WORDS}[_-])"
-# Last labels that a host of bare words must have; such as are common words are left out.
+_FRAMED = r"\s*[\[({{<]\s*(?:{0}|\{1})\s*[\])}}>]\s*|\s+{0}\s+|[_-]{0}[_-]"
+_DOT = f"(?:{_FRAMED.format(DOT_WORDS, '.')})"
+_ENGLISH_DOT = f"(?:{_FRAMED.format('dot', '.')})"
+# Last labels that a host of bare words may have behind any word for a dot; such as are common words are left out.
 TOP = "com|org|net|edu|gov|int|mil|info|biz|io|co|ai|app|dev|de|fr|es|uk|eu|ca|au|ch|nl|pl|ru|cn|jp|br|mx|ar|example|test|invalid|local"
+#: Behind a word that means nothing else: any label of two letters, and more known ones.
+MORE_TOP = f"{TOP}|[A-Za-z]{{2}}|name|pro|museum|coop|aero|jobs|mobi|tel|travel|cat|asia|post|online|site|shop|xyz|tech|cloud|blog|news|store|email|page|top|club|live|world|group|team|agency|academy|digital|media|wiki|localhost"
+#: Words that make "at ... dot" prose.
+PROSE = r"(?:the|an?|this|that|these|those|each|every|which|what|some|any|no|one|my|your|his|her|its|our|their|another)"
+_LABEL = rf"[A-Za-z0-9]++(?:-++(?!{DOT_WORDS}[_-])[A-Za-z0-9]++)*+"
+_LABELS = rf"{_LABEL}(?:(?:\.|{_DOT}){_LABEL}){{0,125}}"
+_BARE_AT = r"(?:\s+{0}\s+|[_-]{0}[_-])"
 #: A bracketed "at", or a bare one that a disguised dot follows within the host.
 DISGUISED = re.compile(
-    rf"(?i:(?<=[A-Za-z0-9_%+-])(?P<at>\x20?[\[({{<]\x20?(?:{AT_WORDS}|@)\x20?[\])}}>]\x20?(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])|(?:\x20{AT_WORDS}\x20|[_-]{AT_WORDS}[_-])(?=[A-Za-z0-9]+(?:(?:\.|{_DOT})[A-Za-z0-9]+){{0,5}}{_DOT}(?:{TOP})(?![\w]))|@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9])))"
+    rf"(?i:(?<=[A-Za-z0-9_%+-])(?P<at>\s*[\[({{<]\s*(?:{AT_WORDS}|@)\s*[\])}}>]\s*(?=[A-Za-z0-9-]+(?:\.|{_DOT})[A-Za-z0-9])"
+    rf"|{_BARE_AT.format(AT_WORDS)}(?={_LABELS}{_DOT}(?:{TOP})(?![\w]))"
+    rf"|{_BARE_AT.format('at')}(?!{PROSE}\s)(?={_LABELS}{_ENGLISH_DOT}(?:{MORE_TOP})(?![\w]))"
+    rf"|{_BARE_AT.format('(?:arroba|arobase|klammeraffe)')}(?={_LABELS}{_DOT}(?:{MORE_TOP})(?![\w]))"
+    rf"|@(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT}[A-Za-z0-9])))"
 )
 DOT = re.compile(rf"(?i:(?<=[A-Za-z0-9-]){_DOT}(?=[A-Za-z0-9]))")
 _GROUP = rf"{_DIGIT}(?:[\x20-]?{_DIGIT}){{0,2}}"
@@ -76,9 +89,9 @@ _GROUP = rf"{_DIGIT}(?:[\x20-]?{_DIGIT}){{0,2}}"
 DOTTED = re.compile(rf"(?i:(?<![\w]){_GROUP}(?:(?:\.|{_DOT}){_GROUP}){{3}})(?![\w])")
 ANY_DOT = re.compile(rf"(?i:{_DOT}|\.)")
 HOST_TAIL = re.compile(rf"(?i:[A-Za-z0-9-]+(?:(?:\.|{_DOT})[A-Za-z0-9-]+)*)")
-LOCAL_DOTS = re.compile(rf"(?i:[A-Za-z0-9%+-]+(?:{_DOT}[A-Za-z0-9%+-]+)+\Z)")
-BRACKETED = re.compile(rf"(?i:[\[({{<]\x20?(?:{AT_WORDS}|{DOT_WORDS}|[@.])\x20?[\])}}>])")
-BARE = (" dot ", " punkt ", " point ", " punto ", "_dot_", "-dot-")
+BRACKETED = re.compile(rf"(?i:[\[({{<]\s*(?:{AT_WORDS}|{DOT_WORDS}|[@.])\s*[\])}}>])")
+DOT_STEMS = ("dot", "punkt", "point", "punto")
+BARE = re.compile(rf"[\s_-]{DOT_WORDS}[\s_-]")
 
 
 def maybe_spelled(low: str) -> bool:
@@ -175,15 +188,27 @@ class Trace:
 def disguise_edits(text: str) -> list[tuple[int, int, str]]:
     """``@`` and ``.`` for the at/dot disguises around each disguised address."""
     edits: dict[tuple[int, int], str] = {}
+    dots, floor = None, 0
     for m in DISGUISED.finditer(text):
         if m["at"] != "@":
             edits[m.start("at"), m.end("at")] = "@"
         tail = HOST_TAIL.match(text, m.end("at"))
         for d in DOT.finditer(text, m.end("at"), tail.end() if tail else m.end("at")):
             edits[d.span()] = "."
-        head = LOCAL_DOTS.search(text, max(0, m.start("at") - 64), m.start("at"))
-        for d in DOT.finditer(text, head.start(), m.start("at")) if head else ():
-            edits[d.span()] = "."
+        if dots is None:
+            dots = {d.end(): d.start() for d in DOT.finditer(text)}
+        # The whole local part, back to the address before.
+        start, found = m.start("at"), []
+        while start > floor:
+            if start in dots and dots[start] > floor and text[dots[start] - 1] in LOCAL:
+                found.append((dots[start], start))
+                start = dots[start]
+            elif text[start - 1] in LOCAL:
+                start -= 1
+            else:
+                break
+        edits.update(dict.fromkeys(found, "."))
+        floor = m.end("at")
     out, last = [], 0
     for (a, b), new in sorted(edits.items()):
         if a >= last:
@@ -218,7 +243,7 @@ def added_spans(text: str, base: set[tuple[int, int, int]]) -> set[tuple[int, in
     alike = not text.isascii() and ALIKE.search(text)
     low = text.lower()
     spelled = maybe_spelled(low)
-    disguised = any(w in low for w in BARE) or BRACKETED.search(text)
+    disguised = any(w in low for w in DOT_STEMS) and BARE.search(low) or BRACKETED.search(text)
     if not (alike or spelled or disguised):
         return set()
     trace = Trace(text)

@@ -191,3 +191,17 @@ def test_pii_rows(odd, none):
     rows = pii.find_pii(odd).collect()
     assert len(rows) == len(ODD) and all(r["spans"] == "" for r in rows)
     assert pii.find_pii(none).count() == 0
+
+
+@pytest.mark.parametrize(
+    "hidden",
+    ["jane at my-host dot com", "jane at mail dot it", "jane at mail dot at", "jane arroba correo punto se", "jane  at\nmail  dot\torg", "jane-at-my-host-dot-org", " dot ".join(["segment"] * 12) + " at mail dot org", "jane_dot_doe_at_mail_dot_org"],
+)
+def test_wide_disguises(hidden):
+    text = f"write: {hidden}, now"
+    assert [(text[a:b], k) for a, k, b in pii.spans_of(text)[1]] == [(hidden, 0)]
+
+
+@pytest.mark.parametrize("text", ["look at this point in time", "he looked at the dot on the map", "at some point we met", "at that point it rained"])
+def test_prose_is_no_address(text):
+    assert pii.spans_of(text) == ([], [])
