@@ -1,25 +1,38 @@
-"""Main text of web pages: structure first, a host's suffix array for the rest.
-
-A page that declares its main element (``article``, ``main`` or that role) says
-what is content; menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and comments are dropped by element and by class, id or role.
-On such pages a repeated passage is content (articles quote and copy each
-other), so the suffix array must not remove it.
-
-A page without a main element gets the same structural cut, and its host's
-suffix array decides about what is left: the token streams of a host's pages
-are concatenated, their suffixes sorted by their first ``WINDOW`` tokens, and
-every run of equal beginnings over at least ``LEAST_PAGES`` pages, whatever the
-size of the host, is a repeated substring.  Its tokens go, unique runs stay; a
-repeat that runs on into a block it covers by fewer than ``WINDOW`` tokens, and
-not whole, takes nothing of that block.  Hosts are dealt into shards of at most about ``SHARD`` pages; each shard
-sorts its own suffixes, only (host, beginning, number of pages) leaves it, and
-the counts are added up over the shards (which hold disjoint pages), so the
-result is that of one suffix array over the whole host.
+"""Main text of web pages: structure first, then the host's suffix array.
+
+Structure: a page that declares its main element (``article``, ``main`` or that
+role) says what is content; menus, headers, footers, sidebars, notices,
+adverts, forms, scripts, styles and comments are dropped by element and by
+class, id or role.
+
+Suffix array: the token streams that are left of all pages of a host are
+concatenated, each page with an end of its own, and their suffixes sorted by
+prefix doubling; longest common prefixes come from the ranks of the rounds.
+For every place this gives the longest substring that begins there and stands
+on at least ``LEAST_PAGES`` distinct pages, whatever the size of the host.
+Substrings of at least ``WINDOW`` tokens are repeats.
+
+* On a page without a main element the tokens that repeats cover go, unique
+  runs stay; a repeat that runs on into a block it covers by fewer than
+  ``WINDOW`` tokens, and not whole, takes nothing of that block.
+* In a declared article a repeat may be a quotation or a copy, so its position
+  counts too.  There only whole blocks that repeats cover go, from the first or
+  the last block of the page inwards, within ``EDGE`` tokens of the page's end,
+  if the block stands on ``NOTICE_PAGES`` pages of the host and always as many
+  blocks from the first, or always as many from the last (calls to subscribe,
+  notices), and only if repeats cover at most ``COPIED`` of the article.
+
+A host of at most ``SHARD_BYTES`` of html is one group.  A larger one is not
+sent to one task: each input split sorts the suffixes of its own pages, gives
+out the fingerprints (48 bits) of their first ``WINDOW`` tokens, once for each
+of up to LEAST_PAGES pages, and these are added up over the splits, dealt by
+value.  A token lies in a repeat exactly if it lies in one of WINDOW tokens,
+so the result is the same, but for fingerprints that agree by chance.
 
 Defined results: null html counts as empty and gives an empty text; a null url
-has the empty host; empty tables give empty results; repeated rows give
-repeated results; only page_id, url and html are read.
+has the empty host; empty tables give empty results; repeated rows are pages of
+their own; pages of any length or depth are read whole; only page_id, url and
+html are read.
 """
 
 from __future__ import annotations
@@ -33,10 +46,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from strandgraph.llm.common import WorkTables, map_rows
+from strandgraph.llm.common import WorkTables, map_batches, map_rows, slices
 from strandgraph.llm.url_filter import host_of
 
-WINDOW, SHARD, LEAST_PAGES = 5, 2000, 3
+WINDOW, LEAST_PAGES = 5, 3
+EDGE, NOTICE_PAGES, COPIED = 40, 8, 0.5
+SHARD_BYTES = 8 << 20
+#: Fingerprints of repeats in large hosts are broadcast up to so many bytes; beyond that they are joined.
+BROADCAST_BYTES = 32 << 20
 
 # Elements by what they are.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -54,7 +71,6 @@ NAMES = re.compile(
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>""", re.DOTALL)
 ATTRIBUTE = re.compile(r"""(?i)(?<![^\s"'/])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-LANDMARK = r"""(?i)<(article|main)[\s>/]|role\s*=\s*["']?(main|article)\b"""
 RAW_END = {name: re.compile(rf"(?i)</{name}(?=[\s/>]|\Z)") for name in RAW}
 
 
@@ -83,8 +99,10 @@ class Page:
         self.blocks: list[str] = []
         self.buffer: list[str] = []
         self.stack: list[str] = []
+        #: Depths of the open elements of each name, and of those that are blocks.
+        self.depths: dict[str, list[int]] = {}
+        self.open_blocks: list[int] = []
         self.drop = self.main = 0  # depth of the stack at which the mode began; 0: off
-        self.seen_main = False
         self.read(html)
 
     def flush(self) -> None:
@@ -96,34 +114,44 @@ class Page:
                 if self.main:
                     self.inside.append(text)
 
+    def push(self, name: str) -> None:
+        self.depths.setdefault(name, []).append(len(self.stack))
+        if name in BLOCKS:
+            self.open_blocks.append(len(self.stack))
+        self.stack.append(name)
+
     def pop(self, size: int) -> None:
-        del self.stack[size:]
+        while len(self.stack) > size:
+            name = self.stack.pop()
+            self.depths[name].pop()
+            if name in BLOCKS:
+                self.open_blocks.pop()
         if self.drop and size < self.drop:
             self.drop = 0
         if self.main and size < self.main:
             self.main = 0
 
+    def innermost(self, names) -> int:
+        """Depth of the innermost open element of ``names``, or -1."""
+        return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=-1)
+
     def close(self, name: str) -> None:
-        if name in self.stack:
-            at = len(self.stack) - 1 - self.stack[::-1].index(name)
-            if any(x in BLOCKS for x in self.stack[at:]) and not self.drop:
+        at = self.innermost((name,))
+        if at >= 0:
+            if self.open_blocks and self.open_blocks[-1] >= at and not self.drop:
                 self.flush()
             self.pop(at)
 
     def implied(self, name: str) -> None:
-        stack = self.stack
-        if name in ENDS_P and "p" in stack:
-            at = len(stack) - 1 - stack[::-1].index("p")
-            if not any(x in BLOCKS for x in stack[at + 1 :]):
+        if name in ENDS_P:
+            at = self.innermost(("p",))
+            if at >= 0 and self.open_blocks[-1] == at:
                 self.pop(at)
         elif name in CLOSES:
             ends, until = CLOSES[name]
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at] in until:
-                    break
-                if stack[at] in ends:
-                    self.pop(at)
-                    break
+            at = self.innermost(ends)
+            if at > self.innermost(until):
+                self.pop(at)
 
     def read(self, html: str) -> None:
         at, size = 0, len(html)
@@ -160,9 +188,8 @@ class Page:
                 continue
             drop, main = marks(attributes) if attributes else (False, False)
             drop |= name in DROPPED or name == "header" and not self.main
-            self.stack.append(name)
+            self.push(name)
             if name in ("article", "main") or main:
-                self.seen_main = True
                 if not self.main and not self.drop:
                     self.main = len(self.stack)
             if drop and not self.drop and not (name in ("article", "main", "body", "html")):
@@ -171,47 +198,179 @@ class Page:
             self.flush()
 
 
-def declared_text(html: str) -> str:
+def content(html: str) -> tuple[list[str], bool]:
+    """(the text blocks that structure leaves, whether the page declares its main element)."""
     page = Page(html)
-    return "\n".join(page.inside if page.inside else page.blocks)
-
-
-def token_ids(blocks: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(a 64-bit id of each word, the block it stands in)."""
-    words, owner = [], []
-    for i, b in enumerate(blocks):
-        w = b.split()
-        words += w
-        owner += [i] * len(w)
-    return np.array([int.from_bytes(blake2b(w.encode("utf-8"), digest_size=8).digest(), "little", signed=True) for w in words], dtype=np.int64), np.array(owner, dtype=np.int64)
+    return (page.inside, True) if page.inside else (page.blocks, False)
 
 
-def windows_of(ids: np.ndarray) -> np.ndarray:
-    """A fingerprint of the WINDOW tokens that each suffix begins with; suffixes too short have none."""
-    if len(ids) < WINDOW:
-        return np.zeros(0, dtype=np.int64)
+def declared_text(html: str) -> str:
+    return "\n".join(content(html)[0])
+
+
+class SuffixArray:
+    """The sorted suffixes of a token stream and the longest common prefixes of neighbours."""
+
+    def __init__(self, tokens: np.ndarray):
+        n = len(tokens)
+        rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+        ranks, step = [rank], 1
+        order = np.argsort(rank, kind="stable")
+        while True:
+            sorted_rank = rank[order]
+            fresh = np.ones(n, dtype=bool)
+            fresh[1:] = sorted_rank[1:] != sorted_rank[:-1]
+            last = np.append(fresh[1:], True)
+            open_ = ~(fresh & last)  # suffixes that still share their rank
+            if step >= n or not open_.any():
+                break
+            at = order[open_]
+            after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)], -1)
+            # Groups keep their place in the order; only their members are sorted again.
+            again = np.lexsort((after, sorted_rank[open_]))
+            order[open_] = at[again]
+            group, after = sorted_rank[open_], after[again]
+            new = np.ones(len(group), dtype=bool)
+            new[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
+            begin = np.arange(n)
+            places = np.flatnonzero(open_)
+            rank = rank.copy()
+            rank[order] = begin  # a rank is the place of its group's first member
+            rank[order[open_]] = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            ranks.append(rank)
+            step *= 2
+        self.order = order
+        common = np.zeros(max(0, n - 1), dtype=np.int64)
+        for k in range(len(ranks) - 1, -1, -1):
+            a, b = order[:-1] + common, order[1:] + common
+            inside = (a < n) & (b < n)
+            same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
+            common += same.astype(np.int64) << k
+        self.common = common
+
+
+class RangeMin:
+    """Minimum of values[a..b) for arrays of a and b, a < b."""
+
+    def __init__(self, values: np.ndarray):
+        self.rows = [values.astype(np.int32)]
+        while (half := 1 << (len(self.rows) - 1)) * 2 <= len(values):
+            row = self.rows[-1]
+            self.rows.append(np.minimum(row[:-half], row[half:]))
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), dtype=np.int32)
+        level = np.frexp((b - a).astype(float))[1] - 1
+        for k in np.unique(level):
+            at = level == k
+            out[at] = np.minimum(self.rows[k][a[at]], self.rows[k][b[at] - (1 << int(k))])
+        return out
+
+
+def two_before(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place the last one before it of another owner, and the last before that of a third; -1: none."""
+    n = len(owner)
+    fresh = np.ones(n, dtype=bool)
+    fresh[1:] = owner[1:] != owner[:-1]
+    run = np.cumsum(fresh) - 1
+    q = owner[fresh]
+    last = np.append(np.flatnonzero(fresh)[1:], n) - 1
+    j = np.arange(len(q))
+    third = np.full(len(q), -1)
+    if len(q) > 2:
+        third[2:] = np.where(q[2:] != q[:-2], j[:-2], -1)
+        third = np.maximum.accumulate(third)  # where two owners take turns, the third is that of the run before
+    one = np.where(run > 0, last[np.maximum(run - 1, 0)], -1)
+    two = np.where(third[run] >= 0, last[np.maximum(third[run], 0)], -1)
+    return one, two
+
+
+def repeat_lengths(tokens: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """For every place of the stream the length of the longest substring from there on three or more owners."""
+    n = len(tokens)
+    best = np.zeros(n, dtype=np.int64)
+    if n < 2:
+        return best
+    array = SuffixArray(tokens)
+    order, least = array.order, RangeMin(array.common)
+    who = owner[order]
+
+    def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Common prefix of the suffixes at places a < b; 0 where either is missing."""
+        out = np.zeros(n, dtype=np.int64)
+        ok = (a >= 0) & (b >= 0)
+        out[ok] = least(a[ok], b[ok])
+        return out
+
+    here = np.arange(n)
+    left1, left2 = two_before(who)
+    r1, r2 = two_before(who[::-1])
+    right1, right2 = (np.where(x >= 0, n - 1 - x, -1)[::-1] for x in (r1, r2))
+    apart = (left1 >= 0) & (right1 >= 0) & (who[left1] != who[right1])
+    both = np.where(apart, np.minimum(reach(left1, here), reach(here, right1)), 0)
+    best[order] = np.maximum(np.maximum(reach(left2, here), reach(here, right2)), both)
+    return best
+
+
+def word_id(word: str) -> int:
+    return int.from_bytes(blake2b(word.encode("utf-8"), digest_size=8).digest(), "little", signed=True)
+
+
+def fingerprints(words: list[str], known: dict[str, int]) -> np.ndarray:
+    """48 bits of the WINDOW tokens that each suffix begins with; suffixes too short have none."""
+    if len(words) < WINDOW:
+        return np.zeros(0, dtype=np.uint64)
+    ids = np.array([known.get(w) or known.setdefault(w, word_id(w)) for w in words], dtype=np.int64).view(np.uint64)
     h = np.zeros(len(ids) - WINDOW + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(WINDOW):
-            h = (h ^ ids[k : k + len(h)].view(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+            h = (h ^ ids[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return h.view(np.int64)
+    return h >> np.uint64(16)
 
 
-def shard_counts(pages: pd.DataFrame) -> pd.DataFrame:
-    """(host, shard, beginning, pages) of one shard's sorted suffixes: a row for each distinct beginning."""
-    starts, owners = [], []
-    for i, blocks in enumerate(pages["blocks"]):
-        w = windows_of(token_ids(list(blocks))[0])
-        starts.append(w)
-        owners.append(np.full(len(w), i))
-    begin, owner = (np.concatenate(x) if x else np.zeros(0, dtype=np.int64) for x in (starts, owners))
-    order = np.lexsort((owner, begin))  # the suffix array, by beginning and then page
-    begin, owner = begin[order], owner[order]
-    fresh = np.ones(len(begin), dtype=bool)
-    fresh[1:] = (begin[1:] != begin[:-1]) | (owner[1:] != owner[:-1])
-    values, counts = np.unique(begin[fresh], return_counts=True)
-    return pd.DataFrame({"host": pages["host"].iloc[0], "shard": pages["shard"].iloc[0], "beginning": values, "pages": counts})
+def standings(blocks: list[str]) -> dict[str, tuple[int, int, int, int]]:
+    """Each short block's first and last place, counted from the first block of the page and from the last one."""
+    out: dict[str, tuple[int, int, int, int]] = {}
+    n = len(blocks)
+    for i, b in enumerate(blocks):
+        if len(b) <= EDGE * 16 and len(b.split()) <= EDGE:
+            low, _, _, end = out.get(b, (i, i, n - i, n - i))
+            out[b] = (low, i, n - i, end)
+    return out
+
+
+def is_notice(pages: int, first: int, last: int, nearest: int, farthest: int) -> bool:
+    return pages >= NOTICE_PAGES and (first == last or nearest == farthest)
+
+
+def cut_blocks(blocks: list[str], declared: bool, at: np.ndarray, notice) -> list[str]:
+    """``blocks`` without their boilerplate.
+
+    ``at`` are the token places where a repeat of WINDOW tokens begins;
+    ``notice`` tells whether a block always stands at the same place.
+    """
+    if not len(at):
+        return blocks
+    words = [b.split() for b in blocks]
+    size = np.array([len(w) for w in words])
+    first = np.concatenate([[0], np.cumsum(size)])
+    owner = np.repeat(np.arange(len(blocks)), size)
+    whole = spread(at, len(owner))
+    full = np.bincount(owner, weights=whole, minlength=len(blocks)) == size
+    if declared:
+        if whole.sum() > COPIED * len(owner):
+            return blocks
+        a, b = 0, len(blocks)
+        while a < b and full[a] and first[a + 1] <= EDGE and notice(blocks[a]):
+            a += 1
+        while b > a and full[b - 1] and first[-1] - first[b - 1] <= EDGE and notice(blocks[b - 1]):
+            b -= 1
+        return blocks[a:b]
+    within = spread(at[owner[at] == owner[at + WINDOW - 1]], len(owner))
+    stays = ~(within | full[owner])
+    left = (b if stays[x:y].all() else " ".join(w for w, k in zip(ws, stays[x:y], strict=True) if k) for b, ws, x, y in zip(blocks, words, first[:-1], first[1:], strict=True))
+    return [b for b in left if b]
 
 
 def spread(at: np.ndarray, size: int) -> np.ndarray:
@@ -222,64 +381,202 @@ def spread(at: np.ndarray, size: int) -> np.ndarray:
     return np.cumsum(edge)[:size] > 0
 
 
-def shard_texts(pages: pd.DataFrame, repeated: pd.DataFrame) -> pd.DataFrame:
-    """The texts of one shard's pages without the tokens that repeated substrings cover."""
-    known = np.sort(repeated["beginning"].to_numpy(dtype=np.int64))
-    texts = []
-    for blocks in pages["blocks"]:
-        blocks = list(blocks)
-        ids, owner = token_ids(blocks)
-        hit = np.isin(windows_of(ids), known)
-        at = np.flatnonzero(hit)
-        whole = spread(at, len(ids))
-        within = spread(at[owner[at] == owner[at + WINDOW - 1]], len(ids))
-        size = np.bincount(owner, minlength=len(blocks))
-        full = np.bincount(owner, weights=whole, minlength=len(blocks)) == size
-        stays = ~(within | full[owner])
-        first = np.concatenate([[0], np.cumsum(size)])
-        left = (b if stays[x:y].all() else " ".join(w for w, k in zip(b.split(), stays[x:y], strict=True) if k) for b, x, y in zip(blocks, first[:-1], first[1:], strict=True))
-        texts.append("\n".join(b for b in left if b))
+def host_texts(pages: list[tuple[list[str], bool]]) -> list[str]:
+    """The texts of one host's pages, by the suffix array of their concatenated streams."""
+    numbers: dict[str, int] = {}
+    stream, sizes = [], []
+    for blocks, _ in pages:
+        before = len(stream)
+        for b in blocks:
+            stream += [numbers.setdefault(w, len(numbers)) for w in b.split()]
+        sizes.append(len(stream) - before)
+        stream.append(-1 - len(sizes))  # an end that no other page shares
+    lengths = np.array(sizes, dtype=np.int64) + 1
+    best = repeat_lengths(np.array(stream, dtype=np.int64), np.repeat(np.arange(len(pages)), lengths))
+    places: dict[str, list[int]] = {}
+    for blocks, _ in pages:
+        for b, (low, high, near, far) in standings(blocks).items():
+            n, low0, high0, near0, far0 = places.get(b, (0, low, high, near, far))
+            places[b] = [n + 1, min(low, low0), max(high, high0), min(near, near0), max(far, far0)]
+    notices = {b for b, p in places.items() if is_notice(*p)}
+    out, at = [], 0
+    for (blocks, declared), size in zip(pages, lengths, strict=True):
+        out.append("\n".join(cut_blocks(blocks, declared, np.flatnonzero(best[at : at + size] >= WINDOW), notices.__contains__)))
+        at += size
+    return out
+
+
+def one_group(pages: pd.DataFrame) -> pd.DataFrame:
+    texts = host_texts([(list(b), d) for b, d in zip(pages["blocks"], pages["declared"], strict=True)])
     return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts, "n_chars": [len(t) for t in texts]})
 
 
+def at_most(keys: np.ndarray, times: int) -> np.ndarray:
+    """Sorted keys without what goes beyond ``times`` copies of one."""
+    return keys[np.append(np.ones(min(times, len(keys)), dtype=bool), keys[times:] != keys[:-times])]
+
+
+def split_beginnings(batches):
+    """(host, part, keys) of a split of large hosts: each suffix's beginning once for each of up to LEAST_PAGES pages."""
+    known: dict[str, int] = {}
+    for batch in slices(batches):
+        if len(known) > 1_000_000:
+            known.clear()
+        found: dict[tuple, list[np.ndarray]] = {}
+        for host, parts, html in zip(*(batch.column(c).to_pylist() for c in ("host", "parts", "html")), strict=True):
+            found.setdefault((host, parts), []).append(np.unique(fingerprints([w for b in content(html)[0] for w in b.split()], known)))
+        rows = []
+        for (host, parts), keys in found.items():
+            keys = at_most(np.sort(np.concatenate(keys)), LEAST_PAGES)
+            part = keys % np.uint64(parts)
+            rows += [(host, int(k), packed(keys[part == k])) for k in np.unique(part)]
+        columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["host", "part", "keys"])
+
+
+def split_standings(batches):
+    """(host, block, first, last, nearest, farthest): the places of each short block of a page; blocks by a 64-bit key."""
+    for batch in slices(batches):
+        rows = [(host, word_id(b), *places) for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) for b, places in standings(content(html)[0]).items()]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.int32()] * 4), strict=True)], ["host", "block", "first", "last", "nearest", "farthest"])
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Six bytes a key."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    wide = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    wide[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
+    return wide.reshape(-1).view("<u8").astype(np.uint64)
+
+
+def repeated_keys(blobs: pd.DataFrame) -> pd.DataFrame:
+    """The beginnings of one part that stand on LEAST_PAGES pages or more."""
+    keys, counts = np.unique(np.concatenate([unpacked(b) for b in blobs["keys"]]), return_counts=True)
+    keys = keys[counts >= LEAST_PAGES]
+    return pd.DataFrame({"host": [blobs["host"].iloc[0]] * bool(len(keys)), "keys": [packed(keys)] * bool(len(keys))})
+
+
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per input row: page_id, url, text and its length in code points."""
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(html_col, F.lit("")).alias("html"))
     kind = rows.schema["page_id"].dataType.simpleString()
-    declared = (F.col("html") == "") | F.col("html").rlike(LANDMARK)
+    out = f"page_id {kind}, url string, text string, n_chars long"
+    rows = rows.withColumn("host", F.coalesce(host_of(F.col("url")), F.lit("")))
+    work = WorkTables(spark, "html")
+    # At most one row for each SHARD_BYTES of html.
+    large, _ = work.save(rows.groupBy("host").agg(F.ceil(F.sum(F.octet_length("html")) / SHARD_BYTES).cast("int").alias("parts")).where("parts > 1"), files=1)
+    dealt = rows.join(F.broadcast(large), "host", "left")
 
     def build():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            texts = [declared_text(h) for h in batch.column(2).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            found = [content(h) for h in batch.column("html").to_pylist()]
+            return pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), batch.column("url"), batch.column("host"), pa.array([b for b, _ in found], pa.list_(pa.string())), pa.array([d for _, d in found], pa.bool_())],
+                ["page_id", "url", "host", "blocks", "declared"],
+            )
 
         return step
 
-    out = f"page_id {kind}, url string, text string, n_chars long"
-    structured = map_rows(rows.where(declared), build, out)
+    small = map_rows(dealt.where("parts IS NULL").drop("parts"), build, f"page_id {kind}, url string, host string, blocks array<string>, declared boolean")
+    whole = small.groupBy("host").applyInPandas(one_group, out)
+    if large.isEmpty():
+        return whole
+    big = dealt.where("parts IS NOT NULL")
+    blobs = map_batches(big.select("host", "parts", "html"), split_beginnings, "host string, part int, keys binary")
+    repeats, _ = work.save(blobs.groupBy("host", "part").applyInPandas(repeated_keys, "host string, keys binary"))
+    placed = map_batches(big.select("host", "html"), split_standings, "host string, block long, first int, last int, nearest int, farthest int")
+    same = (F.col("low") == F.col("high")) | (F.col("near") == F.col("far"))
+    notices, _ = work.save(
+        placed.groupBy("host", "block")
+        .agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("last").alias("high"), F.min("nearest").alias("near"), F.max("farthest").alias("far"))
+        .where((F.col("n") >= NOTICE_PAGES) & same)
+        .select("host", "block")
+    )
+    size = (repeats.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) + 8 * notices.count()
+    return whole.unionByName((_cut_by_broadcast if size <= BROADCAST_BYTES else _cut_by_join)(big, repeats, notices, work, out))
+
+
+def _cut_by_broadcast(big: DataFrame, repeats: DataFrame, notices: DataFrame, work: WorkTables, out: str) -> DataFrame:
+    found: dict[str, list[np.ndarray]] = {}
+    for r in repeats.collect():
+        found.setdefault(r["host"], []).append(unpacked(bytes(r["keys"])))
+    named: dict[str, set[int]] = {}
+    for r in notices.collect():
+        named.setdefault(r["host"], set()).add(r["block"])
+    sent = big.sparkSession.sparkContext.broadcast(({h: np.sort(np.concatenate(k)) for h, k in found.items()}, named))
+
+    def build():
+        (repeated, named), known = sent.value, {}
 
-    def build_blocks():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            blocks = [Page(h).blocks for h in batch.column(2).to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blocks, pa.list_(pa.string()))], ["page_id", "url", "blocks"])
+            if len(known) > 1_000_000:
+                known.clear()
+            texts = []
+            for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                blocks, declared = content(html)
+                hits = among(fingerprints([w for b in blocks for w in b.split()], known), repeated.get(host))
+                mine = named.get(host, ())
+                texts.append("\n".join(cut_blocks(blocks, declared, np.flatnonzero(hits), lambda b, mine=mine: word_id(b) in mine)))
+            return page_rows(batch, texts)
 
         return step
 
-    rest = map_rows(rows.where(~declared), build_blocks, f"page_id {kind}, url string, blocks array<string>")
-    rest, _ = WorkTables(spark, "html").save(rest.select("*", F.coalesce(host_of(F.col("url")), F.lit("")).alias("host")))
-    if rest.isEmpty():
-        return structured
-    sizes = rest.groupBy("host").agg(F.count("*").alias("host_pages"))
-    dealt = rest.join(sizes, "host").withColumn("shard", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("host_pages") / SHARD)).cast("int"))
-    counts = dealt.groupBy("host", "shard").applyInPandas(shard_counts, "host string, shard int, beginning long, pages long")
-    counts, _ = WorkTables(spark, "html").save(counts)
-    repeated = (
-        counts.groupBy("host", "beginning")
-        .agg(F.sum("pages").alias("pages"))
-        .where(F.col("pages") >= LEAST_PAGES)
-        .select("host", "beginning")
-    )
-    known = counts.select("host", "shard", "beginning").join(repeated, ["host", "beginning"])
-    cut = dealt.groupBy("host", "shard").cogroup(known.groupBy("host", "shard")).applyInPandas(shard_texts, out)
-    return structured.unionByName(cut)
+    return map_rows(big, build, out)
+
+
+def among(keys: np.ndarray, known: np.ndarray | None) -> np.ndarray:
+    """Which of ``keys`` stand in the sorted array ``known``."""
+    if known is None or not len(known):
+        return np.zeros(len(keys), dtype=bool)
+    return known[np.minimum(np.searchsorted(known, keys), len(known) - 1)] == keys
+
+
+def page_rows(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+
+def _cut_by_join(big: DataFrame, repeats: DataFrame, notices: DataFrame, work: WorkTables, out: str) -> DataFrame:
+    """The same by joins: a page's keys with the repeated ones of its host, then its hits back to the page."""
+
+    def explode(batches):
+        for batch in slices(batches):
+            known: dict[str, int] = {}
+            for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
+                blocks = content(html)[0]
+                keys = np.concatenate([fingerprints([w for b in blocks for w in b.split()], known).view(np.int64), np.array([word_id(b) for b in blocks], dtype=np.int64)])
+                n = len(keys) - len(blocks)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([host] * len(keys), pa.string()), pa.array([page] * len(keys), pa.int64()), pa.array([*range(n), *range(len(blocks))], pa.int32()), pa.array(np.arange(len(keys)) >= n), pa.array(keys)],
+                    ["host", "page", "at", "of_block", "key"],
+                )
+
+    def unpack(batches):
+        for batch in slices(batches):
+            for host, data in zip(batch.column("host").to_pylist(), batch.column("keys").to_pylist(), strict=True):
+                keys = unpacked(data).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([host] * len(keys), pa.string()), pa.array([False] * len(keys)), pa.array(keys)], ["host", "of_block", "key"])
+
+    def build():
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = []
+            for html, at, fixed in zip(*(batch.column(c).to_pylist() for c in ("html", "hits", "fixed")), strict=True):
+                blocks, declared = content(html)
+                named = {blocks[i] for i in fixed or []}
+                texts.append("\n".join(cut_blocks(blocks, declared, np.array(sorted(at or []), dtype=np.int64), named.__contains__)))
+            return page_rows(batch, texts)
+
+        return step
+
+    # Equal html of one host has equal hits, so a digest names a page.
+    named = big.withColumn("page", F.xxhash64("host", "html"))
+    once = named.groupBy("page").agg(F.first("host").alias("host"), F.first("html").alias("html"))
+    keys = map_batches(repeats, unpack, "host string, of_block boolean, key long").unionByName(notices.select("host", F.lit(True).alias("of_block"), F.col("block").alias("key")))
+    found = map_batches(once.select("host", "page", "html"), explode, "host string, page long, at int, of_block boolean, key long").join(keys, ["host", "of_block", "key"])
+    at = F.col("at")
+    hits, _ = work.save(found.groupBy("page").agg(F.collect_list(F.when(~F.col("of_block"), at)).alias("hits"), F.collect_list(F.when(F.col("of_block"), at)).alias("fixed")))
+    return map_rows(named.join(hits, "page", "left"), build, out)

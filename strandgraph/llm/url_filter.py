@@ -1,37 +1,55 @@
-"""URL filters: longest-rule verdicts, and per-host path templates judged by labelled purity.
+"""URL filters: longest-rule verdicts, and per-host path-template trees judged by labelled purity.
 
 Every url is cut into host and path.  A rule (host, path start, verdict) fits
 its host and all subdomains if the path starts with the rule's; the longest
 fitting rule wins.  Where no rule fits, the method decides:
 
-* the path's segments are generalised: numbers, hexadecimal and mixed ones by
-  their shape, and any level of a host with more than ``BRANCHES`` literal
-  values as a whole; what remains is a template of the host's path tree;
-* sibling templates, which differ in one literal segment, are merged into a
-  wildcard branch if both carry labels and a two-proportion test cannot tell
-  their block shares apart;
-* a template is rejected if its smoothed labelled purity, (blocked + STRENGTH *
-  overall share) / (labelled + STRENGTH), is at least ``purity``.
+* The first ``DEPTH`` segments of a path, variable parts replaced by their
+  shape, are a way from the root of the host's tree; what lies deeper is one
+  last step ``**``.  The tree is built from the root on, a level at a time.
+* A node with more than ``BRANCHES`` different children has one wildcard child.
+* Siblings, those with labels first, then by size, join the first group whose
+  pooled children (and labels, where both have any) two-proportion tests cannot
+  tell from theirs; one without labels that fits several groups with labels
+  joins none.  A group is one node from then on, its members' subtrees pooled.
+* A node's purity is (blocked + STRENGTH * p) / (labelled + STRENGTH), where p
+  is its parent's purity without the node's own labels; above the root p is the
+  share of blocked ones among all labelled urls.  So a template without labels
+  takes over the evidence of its siblings and parents.  It is rejected if its
+  purity is at least ``purity``.
 
 Labels come from a column of the caller; the query uses the rules' verdicts.
-All counts are grouped aggregates with map-side partial sums, so a host that
-holds a third of all rows is no hot task; the verdicts return by a plain
-equi-join that AQE may split.
+``evidence`` names what decided: ``rule``, ``template`` (labels on the template
+itself, or its merged siblings), ``branch`` (labels elsewhere on the host) or
+``prior`` (none on the host).
+
+Rows are folded to counted templates first.  All that is grouped afterwards is
+bounded by BRANCHES, and small tables come back to large ones by ``attach``,
+which broadcasts a counted small side and salts the join otherwise, so that a
+host with a third of all rows is no hot task.
 
 Defined results: a null url, or one without "://", has an empty host and path,
 fits no rule and is allowed; empty tables give empty results; repeated rows
-give repeated results; only the id and url columns (and labels) are read.
+give repeated results; urls of any length are cut whole; only the id and url
+columns (and labels) are read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from strandgraph.llm.common import WorkTables
+
 # The rules of the registered query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-BRANCHES, STRENGTH, LEAST_LABELLED, SIMILAR_Z = 24, 10.0, 5, 1.64
+DEPTH, BRANCHES, STRENGTH = 4, 24, 10.0
+#: Siblings of fewer urls are not merged; two shares differ beyond SIMILAR_Z standard errors.
+LEAST, SIMILAR_Z = 5, 2.58
+#: Tables of at most so many rows are broadcast; larger ones meet the other side on SALTS copies.
+BROADCAST_ROWS, SALTS = 100_000, 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -69,49 +87,136 @@ def shape(segment: Column) -> Column:
     )
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """``urls`` (host, path, and any columns) with their ``segments``, shaped and generalised by level."""
-    shaped = urls.withColumn("segments", F.transform(F.filter(F.split("path", "/"), lambda s: s != ""), shape))
-    levels = (
-        shaped.select("host", F.posexplode("segments").alias("level", "segment"))
-        .groupBy("host", "level", "segment")
-        .agg(F.count("*").alias("n"))
-        .groupBy("host", "level")
-        .agg(F.count("*").alias("values"))
-        .where(F.col("values") > BRANCHES)
-        .groupBy("host")
-        .agg(F.collect_set("level").alias("wide"))
+def way_of(path: Column) -> Column:
+    """The shaped segments of a path, at most DEPTH, with ``**`` for what lies deeper."""
+    segments = F.filter(F.split(path, "/"), lambda s: s != "")
+    near = F.transform(F.slice(segments, 1, DEPTH), shape)
+    return F.when(F.size(segments) > DEPTH, F.concat(near, F.array(F.lit("**")))).otherwise(near)
+
+
+def attach(large: DataFrame, small: DataFrame, keys: list[str], work: WorkTables, how: str = "left") -> DataFrame:
+    """``large`` with the columns of ``small`` (one row a key), without a hot task for a hot key; ``small`` is written to be counted."""
+    small, _ = work.save(small)
+    if small.count() <= BROADCAST_ROWS:
+        return large.join(F.broadcast(small), keys, how)
+    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("__salt", F.floor(F.rand(17) * SALTS).cast("int")).join(copies, [*keys, "__salt"], how).drop("__salt")
+
+
+def differs(n1: float, k1: float, n2: float, k2: float) -> bool:
+    """Whether a two-proportion test tells k1 of n1 from k2 of n2."""
+    p = (k1 + k2) / (n1 + n2)
+    error = (max(p * (1 - p), 1e-4) * (1 / n1 + 1 / n2)) ** 0.5
+    return abs(k1 / n1 - k2 / n2) > SIMILAR_Z * error
+
+
+def alike(a: dict, b: dict) -> bool:
+    """Whether two nodes may be one: similar shares of every child, of paths that end there, and of labels."""
+    keys = a["children"].keys() | b["children"].keys()
+    if any(differs(a["n"], a["children"].get(k, 0), b["n"], b["children"].get(k, 0)) for k in keys):
+        return False
+    return not (a["seen"] and b["seen"]) or not differs(a["seen"], a["bad"], b["seen"], b["bad"])
+
+
+def groups_of(siblings: list[dict]) -> dict[str, str]:
+    """The group's name of each sibling (name, n, seen, bad, children) that changes its name."""
+    groups: list[dict] = []
+    for s in sorted(siblings, key=lambda s: (not s["seen"], -s["n"], s["name"])):
+        homes = [g for g in groups if s["n"] >= LEAST and g["n"] >= LEAST and alike(g, s)]
+        if not s["seen"] and sum(bool(g["seen"]) for g in homes) > 1:
+            continue  # like groups that labels tell apart: it stays by itself, under its parent's evidence
+        home = homes[0] if homes else None
+        if home is None:
+            groups.append({**s, "children": dict(s["children"]), "members": [s["name"]]})
+            continue
+        home["members"].append(s["name"])
+        for k in ("n", "seen", "bad"):
+            home[k] += s[k]
+        for k, v in s["children"].items():
+            home["children"][k] = home["children"].get(k, 0) + v
+    return {m: "(" + "|".join(sorted(g["members"])) + ")" for g in groups if len(g["members"]) > 1 for m in g["members"]}
+
+
+def merged_names(frames):
+    """(host, parent, name, group) of siblings that merge; a row holds all of one parent's children."""
+    for frame in frames:
+        out = []
+        for host, parent, siblings in zip(frame["host"], frame["parent"], frame["siblings"], strict=True):
+            found = groups_of([{**{k: s[k] for k in ("name", "n", "seen", "bad")}, "children": {c["name"]: c["n"] for c in s["children"]}} for s in siblings])
+            out += [(host, parent, name, group) for name, group in found.items()]
+        yield pd.DataFrame(out, columns=["host", "parent", "name", "group"])
+
+
+def tree_level(ways: DataFrame, level: int, work: WorkTables) -> DataFrame:
+    """(host, parent, name, group): the siblings at ``level`` (from 0) that merge; ``done`` are the names above it."""
+    at = ways.where(F.size("way") > level)
+    name, below = F.col("way")[level], F.when(F.size("way") > level + 1, F.col("way")[level + 1]).otherwise(F.lit("$"))
+    parent = F.array_join(F.slice("way", 1, level), "/")
+    pairs = at.groupBy("host", parent.alias("parent"), name.alias("name"), below.alias("child")).agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")))
+    width = pairs.where("child <> '$'").groupBy("host", "parent", "name").agg((F.count("*") > BRANCHES).alias("wide")).where("wide")
+    folded = attach(pairs, width, ["host", "parent", "name"], work).withColumn("child", F.when(F.col("wide") & (F.col("child") != "$"), "*").otherwise(F.col("child")))
+    folded = folded.groupBy("host", "parent", "name", "child").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")))
+    nodes = folded.groupBy("host", "parent", "name").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")), F.collect_list(F.struct(F.col("child").alias("name"), "n")).alias("children"))
+    families = nodes.groupBy("host", "parent").agg(F.collect_list(F.struct("name", "n", "seen", "bad", "children")).alias("siblings")).where(F.size("siblings") > 1)
+    return families.mapInPandas(merged_names, "host string, parent string, name string, group string")
+
+
+def renamed(ways: DataFrame, changes: DataFrame, level: int, new: Column, work: WorkTables) -> DataFrame:
+    """``ways`` with the name at ``level`` replaced by ``new`` where ``changes`` (host, parent, ...) has a row."""
+    keyed = ways.withColumn("parent", F.array_join(F.slice("way", 1, level), "/")).withColumn("name", F.when(F.size("way") > level, F.col("way")[level]))
+    keys = [c for c in changes.columns if c in ("host", "parent", "name")]
+    joined = attach(keyed, changes, keys, work)
+    way = F.transform("way", lambda s, i: F.when((i == level) & new.isNotNull(), new).otherwise(s))
+    return joined.select("host", "raw", way.alias("way"), "n", "seen", "bad")
+
+
+def grow_tree(leaves: DataFrame, work: WorkTables) -> DataFrame:
+    """(host, raw, way, n, seen, bad): the template ``way`` of each shaped way ``raw`` after widening and merging."""
+    ways = leaves.select("host", F.col("way").alias("raw"), "way", "n", "seen", "bad")
+    for level in range(DEPTH + 1):
+        parent = F.array_join(F.slice("way", 1, level), "/")
+        children = ways.where(F.size("way") > level).groupBy("host", parent.alias("parent"), F.col("way")[level].alias("name")).agg(F.count("*").alias("ways"))
+        wide = children.groupBy("host", "parent").agg((F.count("*") > BRANCHES).alias("wide")).where("wide")
+        ways = renamed(ways, wide, level, F.when(F.col("wide"), F.lit("*")), work)
+        ways, _ = work.save(renamed(ways, tree_level(ways, level, work), level, F.col("group"), work))
+        if ways.where(F.size("way") > level + 1).isEmpty():
+            break
+    return ways
+
+
+def judge_templates(ways: DataFrame, purity: float, work: WorkTables) -> DataFrame:
+    """(host, raw, template, score, evidence, rejected) for every shaped way."""
+    total = ways.agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).first()
+    share = F.lit(total["bad"] / total["seen"] if total["seen"] else 0.0)
+    templates = ways.groupBy("host", "way").agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
+    nodes = (
+        templates.select("host", "seen", "bad", F.explode(F.transform(F.sequence(F.lit(0), F.size("way")), lambda d: F.slice("way", F.lit(1), d))).alias("node"))
+        .groupBy("host", "node")
+        .agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad"))
     )
-    wide = F.coalesce(F.col("wide"), F.array().cast("array<int>"))
-    return shaped.join(levels, "host", "left").withColumn("segments", F.transform("segments", lambda s, i: F.when(F.array_contains(wide, i), "*").otherwise(s))).drop("wide")
-
-
-def judge_templates(labelled: DataFrame, purity: float) -> DataFrame:
-    """(host, template, rejected) for every template of (host, segments, blocked: 0, 1 or null)."""
-    leaf = labelled.groupBy("host", "segments").agg(F.count("blocked").alias("seen"), F.coalesce(F.sum("blocked"), F.lit(0)).alias("bad"))
-    overall = leaf.agg(F.coalesce(F.sum("bad") / F.nullif(F.sum("seen"), F.lit(0)), F.lit(0.0)).alias("share"))
-    # Every literal position of a template, as a wildcard, names a branch that it may merge into.
-    positions = F.filter(F.transform("segments", lambda s, i: F.when(~s.rlike(r"[{*]"), i)), lambda i: i.isNotNull())
-    members = leaf.where("seen > 0").withColumn("at", F.explode(positions)).withColumn("branch", F.transform("segments", lambda s, i: F.when(i == F.col("at"), "*").otherwise(s)))
-    pooled = members.groupBy("host", "branch").agg(F.sum("seen").alias("all_seen"), F.sum("bad").alias("all_bad"), F.count("*").alias("members"))
-    p = F.col("all_bad") / F.col("all_seen")
-    error = F.sqrt(F.greatest(p * (1 - p), F.lit(1e-4)) * (1 / F.col("seen") + 1 / F.col("all_seen")))
-    merged = (
-        members.join(pooled, ["host", "branch"])
-        .where((F.col("members") > 1) & (F.abs(F.col("bad") / F.col("seen") - p) <= SIMILAR_Z * error))
-        .groupBy("host", "segments")
-        .agg(F.max_by(F.struct("all_seen", "all_bad"), F.struct("all_seen", "all_bad")).alias("m"))
+    above = templates.select("host", "way", F.explode(F.transform(F.sequence(F.lit(0), F.size("way")), lambda d: F.slice("way", F.lit(1), d))).alias("node"))
+    # From the root to the template, at most DEPTH + 2 nodes.
+    line = attach(above, nodes, ["host", "node"], work).groupBy("host", "way").agg(F.sort_array(F.collect_list(F.struct(F.size("node").alias("depth"), "seen", "bad"))).alias("line"))
+    p = F.aggregate(
+        F.sequence(F.lit(1), F.size("line") - 1),
+        share,
+        lambda p, i: (F.col("line")[i - 1]["bad"] - F.col("line")[i]["bad"] + STRENGTH * p) / (F.col("line")[i - 1]["seen"] - F.col("line")[i]["seen"] + STRENGTH),
     )
-    seen, bad = F.coalesce("m.all_seen", "seen"), F.coalesce("m.all_bad", "bad")
-    score = (bad + STRENGTH * overall.scalar()) / (seen + STRENGTH)
-    return (
-        leaf.join(merged, ["host", "segments"], "left")
-        .select("host", "segments", ((score >= purity) & (seen >= LEAST_LABELLED)).alias("rejected"))
+    prior = F.when(F.size("line") > 1, p).otherwise(share)
+    own = F.element_at("line", -1)
+    judged = line.select(
+        "host",
+        "way",
+        ((own["bad"] + STRENGTH * prior) / (own["seen"] + STRENGTH)).alias("score"),
+        F.when(own["seen"] > 0, "template").when(F.col("line")[0]["seen"] > 0, "branch").otherwise("prior").alias("evidence"),
+    )
+    return attach(ways.select("host", "raw", "way"), judged, ["host", "way"], work, "inner").select(
+        "host", "raw", F.concat(F.lit("/"), F.array_join("way", "/")).alias("template"), "score", "evidence", (F.col("score") >= purity).alias("rejected")
     )
 
 
-def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, purity: float = 0.9, label: Column | None = None) -> DataFrame:
-    """One row per input row: id, host, path, rule and verdict.
+def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, purity: float = 0.8, label: Column | None = None) -> DataFrame:
+    """One row per input row: id, host, path, rule, verdict, and the template, purity and evidence of the method.
 
     ``label`` is 1 for urls known to be bad, 0 for good, null for unknown;
     without it the rules' own verdicts are the labels.
@@ -119,14 +224,20 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     url = F.col(url_col)
     cut = pages.select(F.col(id_col), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"), *([label.cast("int").alias("given")] if label is not None else []))
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = cut.withColumn("rule", text).withColumn("ruled", verdict)
     blocked = F.col("given") if label is not None else F.when(F.col("ruled") == "block", 1).when(F.col("ruled") == "allow", 0)
-    tree = templates(ruled.withColumn("blocked", blocked))
-    judged = judge_templates(tree.select("host", "segments", "blocked"), purity)
-    return tree.join(judged, ["host", "segments"], "left").select(
+    ruled = cut.withColumn("rule", text).withColumn("ruled", verdict).withColumn("blocked", blocked).withColumn("raw", way_of(F.col("path")))
+    work = WorkTables(pages.sparkSession, "urls")
+    leaves, _ = work.save(
+        ruled.where("host <> ''").groupBy("host", F.col("raw").alias("way")).agg(F.count("*").alias("n"), F.count("blocked").alias("seen"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("long").alias("bad"))
+    )
+    judged = judge_templates(grow_tree(leaves, work), purity, work)
+    return attach(ruled, judged, ["host", "raw"], work).select(
         id_col,
         "host",
         "path",
         "rule",
-        F.coalesce("ruled", F.when(F.coalesce("rejected", F.lit(False)) & (F.col("host") != ""), "block").otherwise("allow")).alias("verdict"),
+        F.coalesce("ruled", F.when(F.coalesce("rejected", F.lit(False)), "block").otherwise("allow")).alias("verdict"),
+        "template",
+        "score",
+        F.when(F.col("ruled").isNotNull(), "rule").otherwise(F.coalesce("evidence", F.lit("prior"))).alias("evidence"),
     )
