@@ -42,7 +42,6 @@ from hashlib import blake2b
 from html import unescape
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -406,9 +405,9 @@ def host_texts(pages: list[tuple[list[str], bool]]) -> list[str]:
     return out
 
 
-def one_group(pages: pd.DataFrame) -> pd.DataFrame:
-    texts = host_texts([(list(b), d) for b, d in zip(pages["blocks"], pages["declared"], strict=True)])
-    return pd.DataFrame({"page_id": pages["page_id"], "url": pages["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+def one_group(pages: pa.Table) -> pa.Table:
+    texts = host_texts(list(zip(pages.column("blocks").to_pylist(), pages.column("declared").to_pylist(), strict=True)))
+    return pa.table({"page_id": pages.column("page_id"), "url": pages.column("url"), "text": pa.array(texts, pa.string()), "n_chars": pa.array([len(t) for t in texts], pa.int64())})
 
 
 def at_most(keys: np.ndarray, times: int) -> np.ndarray:
@@ -453,11 +452,11 @@ def unpacked(data: bytes) -> np.ndarray:
     return wide.reshape(-1).view("<u8").astype(np.uint64)
 
 
-def repeated_keys(blobs: pd.DataFrame) -> pd.DataFrame:
+def repeated_keys(blobs: pa.Table) -> pa.Table:
     """The beginnings of one part that stand on LEAST_PAGES pages or more."""
-    keys, counts = np.unique(np.concatenate([unpacked(b) for b in blobs["keys"]]), return_counts=True)
+    keys, counts = np.unique(np.concatenate([unpacked(b) for b in blobs.column("keys").to_pylist()]), return_counts=True)
     keys = keys[counts >= LEAST_PAGES]
-    return pd.DataFrame({"host": [blobs["host"].iloc[0]] * bool(len(keys)), "keys": [packed(keys)] * bool(len(keys))})
+    return pa.table({"host": pa.array([blobs.column("host")[0].as_py()], pa.string()), "keys": pa.array([packed(keys)], pa.binary())}).slice(0, min(1, len(keys)))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -483,12 +482,12 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return step
 
     small = map_rows(dealt.where("parts IS NULL").drop("parts"), build, f"page_id {kind}, url string, host string, blocks array<string>, declared boolean")
-    whole = small.groupBy("host").applyInPandas(one_group, out)
+    whole = small.groupBy("host").applyInArrow(one_group, out)
     if large.isEmpty():
         return whole
     big = dealt.where("parts IS NOT NULL")
     blobs = map_batches(big.select("host", "parts", "html"), split_beginnings, "host string, part int, keys binary")
-    repeats, _ = work.save(blobs.groupBy("host", "part").applyInPandas(repeated_keys, "host string, keys binary"))
+    repeats, _ = work.save(blobs.groupBy("host", "part").applyInArrow(repeated_keys, "host string, keys binary"))
     placed = map_batches(big.select("host", "html"), split_standings, "host string, block long, first int, last int, nearest int, farthest int")
     same = (F.col("low") == F.col("high")) | (F.col("near") == F.col("far"))
     notices, _ = work.save(

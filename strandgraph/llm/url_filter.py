@@ -24,9 +24,9 @@ itself, or its merged siblings), ``branch`` (labels elsewhere on the host) or
 ``prior`` (none on the host).
 
 Rows are folded to counted templates first.  All that is grouped afterwards is
-bounded by BRANCHES, and small tables come back to large ones by ``attach``,
-which broadcasts a counted small side and salts the join otherwise, so that a
-host with a third of all rows is no hot task.
+bounded by BRANCHES, and small tables come back to large ones by ``Attach``,
+which broadcasts a small side of counted size and salts the join otherwise, so
+that a host with a third of all rows is no hot task.
 
 Defined results: a null url, or one without "://", has an empty host and path,
 fits no rule and is allowed; empty tables give empty results; repeated rows
@@ -38,10 +38,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from strandgraph.llm.common import WorkTables
+from strandgraph.llm.common import WorkTables, map_batches
 
 # The rules of the registered query.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -94,13 +94,25 @@ def way_of(path: Column) -> Column:
     return F.when(F.size(segments) > DEPTH, F.concat(near, F.array(F.lit("**")))).otherwise(near)
 
 
-def attach(large: DataFrame, small: DataFrame, keys: list[str], work: WorkTables, how: str = "left") -> DataFrame:
-    """``large`` with the columns of ``small`` (one row a key), without a hot task for a hot key; ``small`` is written to be counted."""
-    small, _ = work.save(small)
-    if small.count() <= BROADCAST_ROWS:
-        return large.join(F.broadcast(small), keys, how)
-    copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return large.withColumn("__salt", F.floor(F.rand(17) * SALTS).cast("int")).join(copies, [*keys, "__salt"], how).drop("__salt")
+class Attach:
+    """Joins of large tables with small ones (one row a key) that make no hot task of a hot key.
+
+    A small side of at most BROADCAST_ROWS rows is broadcast, a larger one
+    meets the other side on SALTS copies.  ``templates`` bounds every table
+    derived from so many templates; small sides are counted only beyond it.
+    """
+
+    def __init__(self, work: WorkTables, templates: int):
+        self.work, self.bounded = work, templates * (DEPTH + 2) <= BROADCAST_ROWS
+
+    def __call__(self, large: DataFrame, small: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+        if self.bounded:
+            return large.join(F.broadcast(small), keys, how)
+        small, _ = self.work.save(small)
+        if small.count() <= BROADCAST_ROWS:
+            return large.join(F.broadcast(small), keys, how)
+        copies = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        return large.withColumn("__salt", F.floor(F.rand(17) * SALTS).cast("int")).join(copies, [*keys, "__salt"], how).drop("__salt")
 
 
 def differs(n1: float, k1: float, n2: float, k2: float) -> bool:
@@ -137,54 +149,53 @@ def groups_of(siblings: list[dict]) -> dict[str, str]:
     return {m: "(" + "|".join(sorted(g["members"])) + ")" for g in groups if len(g["members"]) > 1 for m in g["members"]}
 
 
-def merged_names(frames):
+def merged_names(batches):
     """(host, parent, name, group) of siblings that merge; a row holds all of one parent's children."""
-    for frame in frames:
+    for batch in batches:
         out = []
-        for host, parent, siblings in zip(frame["host"], frame["parent"], frame["siblings"], strict=True):
+        for host, parent, siblings in zip(*(batch.column(c).to_pylist() for c in ("host", "parent", "siblings")), strict=True):
             found = groups_of([{**{k: s[k] for k in ("name", "n", "seen", "bad")}, "children": {c["name"]: c["n"] for c in s["children"]}} for s in siblings])
             out += [(host, parent, name, group) for name, group in found.items()]
-        yield pd.DataFrame(out, columns=["host", "parent", "name", "group"])
+        columns = list(zip(*out, strict=True)) if out else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["host", "parent", "name", "group"])
 
 
-def tree_level(ways: DataFrame, level: int, work: WorkTables) -> DataFrame:
+def tree_level(ways: DataFrame, level: int, attach: Attach) -> DataFrame:
     """(host, parent, name, group): the siblings at ``level`` (from 0) that merge; ``done`` are the names above it."""
     at = ways.where(F.size("way") > level)
     name, below = F.col("way")[level], F.when(F.size("way") > level + 1, F.col("way")[level + 1]).otherwise(F.lit("$"))
     parent = F.array_join(F.slice("way", 1, level), "/")
     pairs = at.groupBy("host", parent.alias("parent"), name.alias("name"), below.alias("child")).agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")))
     width = pairs.where("child <> '$'").groupBy("host", "parent", "name").agg((F.count("*") > BRANCHES).alias("wide")).where("wide")
-    folded = attach(pairs, width, ["host", "parent", "name"], work).withColumn("child", F.when(F.col("wide") & (F.col("child") != "$"), "*").otherwise(F.col("child")))
+    folded = attach(pairs, width, ["host", "parent", "name"]).withColumn("child", F.when(F.col("wide") & (F.col("child") != "$"), "*").otherwise(F.col("child")))
     folded = folded.groupBy("host", "parent", "name", "child").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")))
     nodes = folded.groupBy("host", "parent", "name").agg(*(F.sum(c).alias(c) for c in ("n", "seen", "bad")), F.collect_list(F.struct(F.col("child").alias("name"), "n")).alias("children"))
     families = nodes.groupBy("host", "parent").agg(F.collect_list(F.struct("name", "n", "seen", "bad", "children")).alias("siblings")).where(F.size("siblings") > 1)
-    return families.mapInPandas(merged_names, "host string, parent string, name string, group string")
+    return map_batches(families, merged_names, "host string, parent string, name string, group string")
 
 
-def renamed(ways: DataFrame, changes: DataFrame, level: int, new: Column, work: WorkTables) -> DataFrame:
+def renamed(ways: DataFrame, changes: DataFrame, level: int, new: Column, attach: Attach) -> DataFrame:
     """``ways`` with the name at ``level`` replaced by ``new`` where ``changes`` (host, parent, ...) has a row."""
     keyed = ways.withColumn("parent", F.array_join(F.slice("way", 1, level), "/")).withColumn("name", F.when(F.size("way") > level, F.col("way")[level]))
     keys = [c for c in changes.columns if c in ("host", "parent", "name")]
-    joined = attach(keyed, changes, keys, work)
+    joined = attach(keyed, changes, keys)
     way = F.transform("way", lambda s, i: F.when((i == level) & new.isNotNull(), new).otherwise(s))
     return joined.select("host", "raw", way.alias("way"), "n", "seen", "bad")
 
 
-def grow_tree(leaves: DataFrame, work: WorkTables) -> DataFrame:
+def grow_tree(leaves: DataFrame, deepest: int, attach: Attach) -> DataFrame:
     """(host, raw, way, n, seen, bad): the template ``way`` of each shaped way ``raw`` after widening and merging."""
     ways = leaves.select("host", F.col("way").alias("raw"), "way", "n", "seen", "bad")
-    for level in range(DEPTH + 1):
+    for level in range(deepest):
         parent = F.array_join(F.slice("way", 1, level), "/")
         children = ways.where(F.size("way") > level).groupBy("host", parent.alias("parent"), F.col("way")[level].alias("name")).agg(F.count("*").alias("ways"))
         wide = children.groupBy("host", "parent").agg((F.count("*") > BRANCHES).alias("wide")).where("wide")
-        ways = renamed(ways, wide, level, F.when(F.col("wide"), F.lit("*")), work)
-        ways, _ = work.save(renamed(ways, tree_level(ways, level, work), level, F.col("group"), work))
-        if ways.where(F.size("way") > level + 1).isEmpty():
-            break
+        ways = renamed(ways, wide, level, F.when(F.col("wide"), F.lit("*")), attach)
+        ways, _ = attach.work.save(renamed(ways, tree_level(ways, level, attach), level, F.col("group"), attach))
     return ways
 
 
-def judge_templates(ways: DataFrame, purity: float, work: WorkTables) -> DataFrame:
+def judge_templates(ways: DataFrame, purity: float, attach: Attach) -> DataFrame:
     """(host, raw, template, score, evidence, rejected) for every shaped way."""
     total = ways.agg(F.sum("seen").alias("seen"), F.sum("bad").alias("bad")).first()
     share = F.lit(total["bad"] / total["seen"] if total["seen"] else 0.0)
@@ -196,7 +207,7 @@ def judge_templates(ways: DataFrame, purity: float, work: WorkTables) -> DataFra
     )
     above = templates.select("host", "way", F.explode(F.transform(F.sequence(F.lit(0), F.size("way")), lambda d: F.slice("way", F.lit(1), d))).alias("node"))
     # From the root to the template, at most DEPTH + 2 nodes.
-    line = attach(above, nodes, ["host", "node"], work).groupBy("host", "way").agg(F.sort_array(F.collect_list(F.struct(F.size("node").alias("depth"), "seen", "bad"))).alias("line"))
+    line = attach(above, nodes, ["host", "node"]).groupBy("host", "way").agg(F.sort_array(F.collect_list(F.struct(F.size("node").alias("depth"), "seen", "bad"))).alias("line"))
     p = F.aggregate(
         F.sequence(F.lit(1), F.size("line") - 1),
         share,
@@ -210,7 +221,7 @@ def judge_templates(ways: DataFrame, purity: float, work: WorkTables) -> DataFra
         ((own["bad"] + STRENGTH * prior) / (own["seen"] + STRENGTH)).alias("score"),
         F.when(own["seen"] > 0, "template").when(F.col("line")[0]["seen"] > 0, "branch").otherwise("prior").alias("evidence"),
     )
-    return attach(ways.select("host", "raw", "way"), judged, ["host", "way"], work, "inner").select(
+    return attach(ways.select("host", "raw", "way"), judged, ["host", "way"], "inner").select(
         "host", "raw", F.concat(F.lit("/"), F.array_join("way", "/")).alias("template"), "score", "evidence", (F.col("score") >= purity).alias("rejected")
     )
 
@@ -230,8 +241,10 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     leaves, _ = work.save(
         ruled.where("host <> ''").groupBy("host", F.col("raw").alias("way")).agg(F.count("*").alias("n"), F.count("blocked").alias("seen"), F.coalesce(F.sum("blocked"), F.lit(0)).cast("long").alias("bad"))
     )
-    judged = judge_templates(grow_tree(leaves, work), purity, work)
-    return attach(ruled, judged, ["host", "raw"], work).select(
+    size = leaves.agg(F.count("*").alias("templates"), F.coalesce(F.max(F.size("way")), F.lit(0)).alias("deepest")).first()
+    attach = Attach(work, size["templates"])
+    judged, _ = work.save(judge_templates(grow_tree(leaves, size["deepest"], attach), purity, attach))
+    return attach(ruled, judged, ["host", "raw"]).select(
         id_col,
         "host",
         "path",
