@@ -1,6 +1,8 @@
 """Search, decontamination, near-duplicates against brute force."""
 
+import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -15,18 +17,18 @@ WORDS = [f"w{i}" for i in range(400)]
 
 
 def brute_top(rows, k=10, every=100):
-    vectors = {}
-    for i, v in rows:
-        if i is None or not v or any(x is None or not np.isfinite(x) for x in v):
-            continue
-        f = [int(np.floor(1024 * float(x))) for x in v]
-        vectors[i] = min(vectors.get(i, f), f)
-    out = set()
-    for q, a in vectors.items():
+    """Sorted (query_id, rank, vec_id, score) rows; a score beyond 64 bits is the nearest long."""
+    vectors = [(i, [math.floor(Fraction(float(x)) * 1024) for x in v]) for i, v in rows if i is not None and v and not any(x is None or not np.isfinite(x) for x in v)]
+    out = []
+    for at, (q, a) in enumerate(vectors):
         if q % every == 0:
-            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for i, b in vectors.items() if i != q and len(a) == len(b))
-            out |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scored[:k])}
-    return out
+            scored = sorted((-sum(x * y for x, y in zip(a, b, strict=True)), i) for n, (i, b) in enumerate(vectors) if n != at and len(a) == len(b))
+            out += [(q, r + 1, i, min(max(-s, -(1 << 63)), (1 << 63) - 1)) for r, (s, i) in enumerate(scored[:k])]
+    return sorted(out)
+
+
+def found_top(table, **more):
+    return sorted(tuple(x) for x in topk.top_k(table, **more).select("query_id", "rank", "vec_id", "score").collect())
 
 
 def test_topk(spark):
@@ -36,16 +38,25 @@ def test_topk(spark):
     rows += [(2000, None), (2001, []), (2002, [None] + [0.1] * 7), (2003, [float("nan")] * 8), (2100, [float("inf")] * 8), (2200, [1.0, 2.0]), (2201, [1.0, 1.0]), (None, [0.1] * 8)]
     rows += rows[:5]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
-    found = {tuple(x) for x in topk.top_k(table).select("query_id", "rank", "vec_id", "score").collect()}
-    assert found == brute_top(rows)
+    assert found_top(table) == brute_top(rows)
+
+
+def test_topk_of_any_finite_size(spark):
+    r = random.Random(6)
+    rows = [(i, [r.choice([3e6, -3e6, 1e13, -1e13, 0.25, 1e150, 1e305, -1.7e308, 5e-324, 1023.9, 1024.0]) * (1 if r.random() < 0.3 else r.random()) for _ in range(6)]) for i in range(300)]
+    rows += [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(300, 600)]
+    rows += [(1000, [3e6] * 64), (1100, [3e6] * 64), (1101, [1.0] * 64), (1100, [1.0] * 64)]  # vec_ids that rows share
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert found_top(table) == brute_top(rows)
+    keys = sorted([0, 1, -1, 255, 256, -255, -256, 1 << 70, -(1 << 70), 12345, -12345])
+    assert sorted(keys, key=topk.order_key) == keys
 
 
 def test_topk_blocks_and_empty(spark, monkeypatch):
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(topk, "QUERY_BYTES", 2000)
     r = random.Random(5)
     rows = [(i, [r.random() for _ in range(4)]) for i in range(0, 2000, 20)]
-    found = {tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3).select("query_id", "rank", "vec_id", "score").collect()}
-    assert found == brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in rows], k=3)
+    assert found_top(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=3) == brute_top([(i, [float(np.float32(x)) for x in v]) for i, v in rows], k=3)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
     assert topk.top_k(spark.createDataFrame([(1, [0.5])], "vec_id long, embedding array<float>")).count() == 0
 
