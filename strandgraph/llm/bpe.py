@@ -8,6 +8,9 @@ their ids are concatenated; the result equals encoding the whole word.
 Defined results: a null text counts as empty (no ids, empty decoded text);
 empty tables give empty results; repeated rows give repeated results; texts and
 words of any length are encoded whole, long fragments by a heap in n log n.
+Letters and numbers are those of the library's Unicode version (16), whatever
+that of the running Python; texts with code points whose composition or lower
+case depends on the version are normalised by the library's own normaliser.
 """
 
 from __future__ import annotations
@@ -33,6 +36,13 @@ SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Entries of one cache generation; caching never changes a result.
 CACHE = 200_000
 NEVER = 1 << 60
+# Letters and numbers that Unicode 16 adds to 15.1.
+NEW_LETTERS = (
+    (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
+    (0x11380, 0x11389), (0x1138B, 0x1138B), (0x1138E, 0x1138E), (0x11390, 0x113B5), (0x113B7, 0x113B7), (0x113D1, 0x113D1), (0x113D3, 0x113D3),
+    (0x11BC0, 0x11BE0), (0x13460, 0x143FA), (0x16100, 0x1611D), (0x16D40, 0x16D6C), (0x18CFF, 0x18CFF), (0x1E5D0, 0x1E5ED), (0x1E5F0, 0x1E5F0),
+)
+NEW_NUMBERS = ((0x10D40, 0x10D49), (0x116D0, 0x116E3), (0x11BF0, 0x11BF9), (0x16130, 0x16139), (0x16D70, 0x16D79), (0x1CCF0, 0x1CCF9), (0x1E5F1, 0x1E5FA))
 
 
 def byte_alphabet() -> list[str]:
@@ -42,19 +52,37 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
-def char_class(initial: str) -> str:
-    """The ranges of a regex character class: code points of one general category group."""
+def char_class(initial: str, added: tuple = ()) -> str:
+    """The ranges of a regex character class: code points of one general category group of Unicode 15.1, and those ``added``."""
+    inside = [unicodedata.category(chr(c))[0] == initial for c in range(sys.maxunicode + 1)]
+    for a, b in added:
+        inside[a : b + 1] = [True] * (b + 1 - a)
+    return ranges(inside)
+
+
+def ranges(inside: list[bool]) -> str:
     out, start = [], None
-    for c in range(sys.maxunicode + 2):
-        inside = c <= sys.maxunicode and unicodedata.category(chr(c))[0] == initial
-        if inside and start is None:
+    for c, x in enumerate([*inside, False]):
+        if x and start is None:
             start = c
-        elif not inside and start is not None:
+        elif not x and start is not None:
             out.append(re.escape(chr(start)) + "-" + re.escape(chr(c - 1)))
             start = None
     return "".join(out)
 
 
+@lru_cache(maxsize=1)
+def rare() -> re.Pattern:
+    """Code points whose composition or lower case Python and the library may see differently.
+
+    Those that Python takes for unassigned, marks outside the oldest block (the
+    library orders later ones as if they were none), and the one script whose
+    pairs were given compositions in between.  Texts with any take a longer way.
+    """
+    inside = [unicodedata.category(c) == "Cn" or i > 0x36F and unicodedata.combining(c) > 0 or 0x11930 <= i <= 0x11938 for i, c in enumerate(map(chr, range(sys.maxunicode + 1)))]
+    return re.compile("[" + ranges(inside) + "]")
+
+
 class Memo(dict):
     """A bounded cache of a function of one key: when it is full, it becomes the old generation, which is looked at once more."""
 
@@ -87,7 +115,8 @@ class WordBpe:
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.space = re.compile(f"[{SPACE}]+")
-        letters, numbers = char_class("L"), char_class("N")
+        letters, numbers = char_class("L", NEW_LETTERS), char_class("N", NEW_NUMBERS)
+        self.rare, self.path = rare(), path
         self.words = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
         self.alphabet = byte_alphabet()
         bodies = (t.removesuffix(END) for t in self.vocab)
@@ -97,6 +126,8 @@ class WordBpe:
 
     def normalize(self, text: str) -> str:
         if not text.isascii():
+            if self.rare.search(text):
+                return library(self.path).normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
         return self.space.sub(" ", text).lower()
 
@@ -173,6 +204,14 @@ class WordBpe:
         return " ".join(self.names[i] for i in ids if i in self.names)
 
 
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The tokenizers library's reading of the file; only its normaliser is used."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> WordBpe:
     return WordBpe(path)

@@ -205,3 +205,17 @@ def test_wide_disguises(hidden):
 @pytest.mark.parametrize("text", ["look at this point in time", "he looked at the dot on the map", "at some point we met", "at that point it rained"])
 def test_prose_is_no_address(text):
     assert pii.spans_of(text) == ([], [])
+
+
+def test_bpe_equals_the_library_for_every_code_point():
+    library = bpe.library(bpe.vocabulary_path())
+    library.no_truncation()
+    library.no_padding()
+    ours = bpe.encoder(bpe.vocabulary_path())
+    points = [chr(c) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    for at in range(0, len(points), 1 << 14):
+        texts = [f"a{c}a 1{c}\u0323!{c}\u0334!" for c in points[at : at + (1 << 14)]]
+        assert [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if ours.encode(t) != e.ids] == []
+    r = random.Random(2)
+    texts = ["".join(r.choice([chr(r.randint(32, 126)), chr(r.randint(0xA0, 0x24F)), chr(r.randint(0x300, 0x36F)), r.choice(points)]) for _ in range(r.randint(1, 30))) for _ in range(3000)]
+    assert [t for t, e in zip(texts, library.encode_batch(texts, add_special_tokens=False), strict=True) if ours.encode(t) != e.ids] == []
