@@ -157,15 +157,15 @@ class Trace:
     def apply(self, edits: list[tuple[int, int, str]]) -> None:
         if edits:
             self.text, table = rewrite(self.text, edits, None)
-            self.tables.append((table, [s[0] for s in table]))
+            self.tables.append((table, [s[0] for s in table], [s[2] for s in table]))
 
     def source(self, start: int, end: int) -> tuple[int, int, bool]:
         """Source span of a span of the normalised text, and whether it covers an edit."""
         edited = False
-        for table, starts in reversed(self.tables):
+        for table, starts, olds in reversed(self.tables):
             start, _, e1 = self._back(table, starts, start, False)
             _, end, e2 = self._back(table, starts, end - 1, True)
-            lo, hi = bisect_right([s[2] for s in table], start - 1), bisect_right([s[2] for s in table], end - 1)
+            lo, hi = bisect_right(olds, start - 1), bisect_right(olds, end - 1)
             edited |= e1 or e2 or hi > lo
         return start, end, edited
 

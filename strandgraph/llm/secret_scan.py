@@ -5,8 +5,9 @@ method adds spans of kind ``random``: a long run of credential characters whose
 characters-per-token ratio under a public tiktoken vocabulary is low, because
 byte-pair merges learned from prose do not apply to random strings.  A run ends
 at a dot, so each dotted part of a token is tested by itself; hosts of URLs are
-left out, and what follows them is tested part by part.  Hexadecimal runs of
-digest length, UUIDs, dates and numbers are excluded.  Words and names joined
+left out, and what follows them is tested part by part.  Known digests (hexadecimal
+runs of digest length that the words before them name as such: a commit, a
+checksum, an etag), UUIDs, dates and numbers are excluded.  Words and names joined
 by separators count as identifiers only if their letters cost few tokens.
 
 Defined results: a null text counts as empty (no spans, digest of the empty
@@ -40,6 +41,8 @@ MIN_ASSIGNED = 6
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{16,}")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
 DIGEST = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128})", re.IGNORECASE)
+#: What names a digest right before it; behind a credential's name it is none.
+NAMED = re.compile(r"(?i)(?:commit|revision|\brev|\bsha-?[0-9]*|\bmd5|checksum|digest|etag|\bhash|fingerprint|integrity|\bblob|\btree|\bparent|\bmerge|\bgit)(?:sum|id|[-_]id)?(?:\s+(?:is|of|at|id|the))?[\s\"'`:=(\[<@-]{1,4}(?:W/\")?\Z")
 #: Words, or a word with a number behind it, joined by single separators.
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+)(?:[-_/+=]+(?:[A-Z]?[a-z]+|[A-Z]+|[0-9]+))*[-_/=]*")
 URL = re.compile(r"""://(?:[^\s/?#@"'<>]*+@)?([^\s/?#"'<>]*)[^\s"'<>]*""")
@@ -76,9 +79,9 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def excluded(run: str, enc) -> bool:
-    """Known digests, numbers, and identifiers whose letters are not random."""
-    if run.isdigit() or UUID.fullmatch(run) or DIGEST.fullmatch(run):
+def excluded(run: str, before: str, enc) -> bool:
+    """Digests that the text ``before`` names, numbers, and identifiers whose letters are not random."""
+    if run.isdigit() or UUID.fullmatch(run) or DIGEST.fullmatch(run) and NAMED.search(before):
         return True
     if not (IDENTIFIER.fullmatch(run) or CAMEL.fullmatch(run)):
         return False
@@ -109,7 +112,7 @@ def random_spans(text: str, enc, max_ratio: float) -> list[tuple[int, int, int]]
     found = []
     for start, end in runs(text):
         run = text[start:end]
-        if not excluded(run, enc) and len(run) <= max_ratio * len(enc.encode_ordinary(run)):
+        if not excluded(run, text[max(0, start - 40) : start], enc) and len(run) <= max_ratio * len(enc.encode_ordinary(run)):
             found.append((start, 3, end))
     return found
 
