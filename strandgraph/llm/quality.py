@@ -1,13 +1,16 @@
 """Quality classifier: a byte-level convolutional network in numpy.
 
 A text's bytes are cut into overlapping chunks that cover all of it.  Learned
-filters run over byte embeddings of each chunk; a second bank with fixed
-weights looks for bytes that repeat at a lag.  Every filter is max-pooled (and
-averaged) over the chunk, chunks are max-pooled and averaged over the document,
-and one logistic unit gives the probability of label 1.
+filters run over two pictures of each chunk: the embeddings of its bytes, and
+the plane that says, for each lag, which bytes equal the one that far before
+them.  Every filter is max-pooled (and averaged) over the chunk, chunks are
+max-pooled and averaged over the document, and one logistic unit gives the
+probability of label 1.  A window of the plane is eight bits, so its learned
+responses are a table of 256 rows, and a chunk needs only the counts of its
+windows.
 
 Training: plain back-propagation on the driver over a bounded sample (at most
-``PER_CLASS`` rows a class, whole texts of at most ``MAX_BYTES`` bytes), from
+``PER_CLASS`` rows a class, of each text a run of at most ``MAX_CHARS`` characters), from
 rows outside the held-out fold only, weighted back to the true class shares.
 Scoring covers every byte of every text on the executors.
 
@@ -29,10 +32,11 @@ CHUNK, OVERLAP = 256, 32
 STEP = CHUNK - OVERLAP
 DIM, WIDTH, STRIDE, FILTERS = 6, 8, 4, 16
 PLACES = (CHUNK - WIDTH) // STRIDE + 1
-LAGS, RUN, REPEAT_SCALE = range(2, 49), 5, 10
-FEATURES = 2 * FILTERS + 1
-#: Bounds of the training sample: rows of label 0 and 1, bytes of a text.
-PER_CLASS, MAX_BYTES = (600, 900), 20_000
+LAGS, PLANE_FILTERS = range(2, 49), 4
+FEATURES = 2 * FILTERS + 2 * PLANE_FILTERS
+BITS = (np.arange(256)[:, None] >> np.arange(7, -1, -1) & 1).astype(np.float32)
+#: Bounds of the training sample: rows of label 0 and 1, characters of a text.
+PER_CLASS, MAX_CHARS = (600, 900), 10_000
 #: Passes over a full sample; a smaller sample gets more.
 EPOCHS, RATE, BATCH_CHUNKS = 8, 0.02, 1000
 
@@ -52,17 +56,18 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return view[starts], first
 
 
-def repetition(chunks: np.ndarray) -> np.ndarray:
-    """Share of a chunk's bytes in runs of RUN or more that equal the bytes one lag back, over all lags."""
-    total = np.zeros(len(chunks), dtype=np.float32)
+def plane_counts(chunks: np.ndarray) -> np.ndarray:
+    """How often each eight-bit window (stride 4) occurs in a chunk's plane of equal bytes, summed over the lags and averaged over the places."""
+    n = len(chunks)
+    out = np.zeros((n, 256), dtype=np.float32)
     used = chunks != 0
+    base = (np.arange(n) << 8)[:, None]
     for lag in LAGS:
         same = (chunks[:, lag:] == chunks[:, :-lag]) & used[:, lag:]
-        two = same[:, 1:] & same[:, :-1]
-        four = two[:, 2:] & two[:, :-2]
-        run = four[:, RUN - 4 :] & four[:, : -(RUN - 4)]
-        total += run.sum(axis=1, dtype=np.int32)
-    return np.minimum(1.0, total / np.maximum(32, used.sum(axis=1))).astype(np.float32)
+        for shift in (0, 4):
+            codes = np.packbits(same[:, shift : shift + (same.shape[1] - shift) // 8 * 8], axis=1)
+            out += np.bincount((base + codes).ravel(), minlength=n << 8).reshape(n, 256)
+    return out * len(LAGS) / out.sum(axis=1, keepdims=True)
 
 
 class ByteCnn:
@@ -75,6 +80,8 @@ class ByteCnn:
             "embed": rng.normal(0, 0.5, (256, DIM)).astype(np.float32),
             "filters": rng.normal(0, (WIDTH * DIM) ** -0.5, (WIDTH * DIM, FILTERS)).astype(np.float32),
             "bias": np.zeros(FILTERS, np.float32),
+            "plane": np.abs(rng.normal(0, 8**-0.5, (8, PLANE_FILTERS))).astype(np.float32),
+            "plane_bias": np.full(PLANE_FILTERS, -1, np.float32),
             "top": np.zeros(2 * FEATURES, np.float32),
             "shift": np.zeros(1, np.float32),
         }
@@ -86,12 +93,19 @@ class ByteCnn:
         windows = windows.reshape(-1, WIDTH * DIM)
         return windows, (windows @ self.w["filters"] + self.w["bias"]).reshape(len(chunks), PLACES, FILTERS)
 
+    def plane_features(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(largest and mean response of each plane filter, the window of the largest, the table of responses)."""
+        table = np.maximum(BITS @ self.w["plane"] + self.w["plane_bias"], 0)
+        order = np.argsort(-table, axis=0, kind="stable")
+        peak = np.stack([order[:, k][(counts[:, order[:, k]] > 0).argmax(axis=1)] for k in range(PLANE_FILTERS)], axis=1)
+        return np.concatenate([table[peak, np.arange(PLANE_FILTERS)], counts @ table], axis=1), peak, table
+
     def chunk_features(self, chunks: np.ndarray) -> np.ndarray:
         parts = []
         for at in range(0, len(chunks), 1024):
             part = chunks[at : at + 1024]
             active = np.maximum(self.convolve(part)[1], 0)
-            parts.append(np.concatenate([active.max(axis=1), active.mean(axis=1), REPEAT_SCALE * repetition(part)[:, None]], axis=1))
+            parts.append(np.concatenate([active.max(axis=1), active.mean(axis=1), self.plane_features(plane_counts(part))[0]], axis=1))
         return np.concatenate(parts)
 
     @staticmethod
@@ -141,7 +155,7 @@ class ByteCnn:
         state = {k: [np.zeros_like(v), np.zeros_like(v)] for k, v in self.w.items()}
         rng, step = np.random.default_rng(11), 0
         cut = [(*chunks_of([t]),) for t in texts]
-        reps = [REPEAT_SCALE * repetition(c) for c, _ in cut]
+        planes = [plane_counts(c) for c, _ in cut]
         epochs = max(EPOCHS, min(5 * EPOCHS, 1200 * EPOCHS // len(texts)))
         for epoch in range(epochs):
             rate = RATE * (1 - epoch / epochs)
@@ -151,14 +165,14 @@ class ByteCnn:
                 size += len(cut[i][0])
                 if size >= BATCH_CHUNKS or n == len(order) - 1:
                     step += 1
-                    for k, g in self._gradient([cut[j][0] for j in batch], [reps[j] for j in batch], y[batch], weight[batch]).items():
+                    for k, g in self._gradient([cut[j][0] for j in batch], [planes[j] for j in batch], y[batch], weight[batch]).items():
                         m, v = state[k]
                         m += 0.1 * (g - m)
                         v += 0.01 * (g * g - v)
                         self.w[k] -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
                     batch, size = [], 0
 
-    def _gradient(self, parts: list[np.ndarray], reps: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    def _gradient(self, parts: list[np.ndarray], planes: list[np.ndarray], y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         chunks = np.concatenate(parts)
         counts = np.array([len(p) for p in parts])
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
@@ -166,7 +180,9 @@ class ByteCnn:
         windows, z = self.convolve(chunks)
         active = np.maximum(z, 0)
         peak = active.argmax(axis=1)
-        features = np.concatenate([active.max(axis=1), active.mean(axis=1), np.concatenate(reps)[:, None]], axis=1)
+        shares = np.concatenate(planes)
+        plane, plane_peak, table = self.plane_features(shares)
+        features = np.concatenate([active.max(axis=1), active.mean(axis=1), plane], axis=1)
         pooled = self.pool(features, first)
         logit = pooled @ self.w["top"] + self.w["shift"]
         error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * weight / weight.sum()).astype(np.float32)
@@ -185,8 +201,15 @@ class ByteCnn:
             at = chunks[:, k : k + STRIDE * PLACES : STRIDE][:, :PLACES].ravel()
             for d in range(DIM):
                 d_embed[:, d] += np.bincount(at, weights=d_x[:, k, d], minlength=256)
+        d_plane = d_feat[:, 2 * FILTERS :]
+        d_table = shares.T @ d_plane[:, PLANE_FILTERS:]
+        for k in range(PLANE_FILTERS):
+            d_table[:, k] += np.bincount(plane_peak[:, k], weights=d_plane[:, k], minlength=256)
+        d_table *= table > 0
         decay = 1e-4
         return {
+            "plane": BITS.T @ d_table + decay * self.w["plane"],
+            "plane_bias": d_table.sum(axis=0),
             "embed": d_embed,
             "filters": windows.T @ flat + decay * self.w["filters"],
             "bias": flat.sum(axis=0),
@@ -195,9 +218,9 @@ class ByteCnn:
         }
 
 
-def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held_out: int = 0, per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> ByteCnn:
+def train_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", modulus: int = 5, held_out: int = 0, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> ByteCnn:
     """A network fitted on a bounded sample of the rows outside the held-out fold."""
-    sample, counts = labelled_texts(docs, labels, label, modulus, held_out, per_class, max_bytes)
+    sample, counts = labelled_texts(docs, labels, label, modulus, held_out, per_class, max_chars)
     every = sum(counts.values())
     model = ByteCnn(prior=(counts.get(1, 0) + 1) / (every + 2))
     y = np.array([b for _, b in sample], dtype=np.float32)

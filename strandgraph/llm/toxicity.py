@@ -2,21 +2,26 @@
 
 The kernel of two short strings counts their common three-letter subsequences,
 each weighted by DECAY to the power of its span, and is normalised; gaps and
-inserted characters lower it only a little.  Words carry marks for their start
-and end.  Landmarks are words and word beginnings that a greedy cover of the
-labelled toxic documents selects, and the most similar strings of the others.
-A string's similarity to the landmarks, times the inverse root of the
-landmarks' own kernel matrix, is its Nystroem feature vector.  A linear SVM
-over these features is trained on labelled sentences; a logistic unit turns a
-document's sum of positive decisions into its score.
-
-Most strings share too little with any landmark.  A table of letter triples
+inserted characters lower it only a little.  A sentence meets a landmark in its
+windows: its words with marks for their start and end, their beginnings, parts
+between punctuation, runs of spaced-out letters, and pairs of short tokens; the
+largest kernel counts.  These similarities to the landmarks, times the inverse
+root of the landmarks' own kernel matrix, are the sentence's Nystroem features.
+
+A linear SVM over them is trained on labelled sentences: those of toxic
+documents against those of the others, each document's sentences sharing its
+weight.  A logistic unit turns the sum of the positive decisions on a document's
+windows (each at most 1) into its score.  Landmarks are words and word
+beginnings that a greedy cover of the labelled toxic documents selects (at most
+MAX_TOXIC), and the most similar strings of the others (MAX_LANDMARKS in all).
+
+Most words share too little with any landmark.  A table of letter triples
 bounds the similarity of a whole batch of unseen words at once; only those that
 may reach MIN_SIMILARITY get exact kernels, the rest count as dissimilar to
-every landmark.  Decisions are cached per word.
+every landmark.  Kernels are cached per word.
 
-Training uses at most ``PER_CLASS`` documents a class, whole texts of at most
-``MAX_BYTES`` bytes, outside the held-out fold.
+Training uses at most ``PER_CLASS`` documents a class, of each a run of at most
+``MAX_CHARS`` characters, outside the held-out fold.
 
 Defined results: a null or empty text has no word and gets the lowest score;
 without labelled rows of both classes, or without landmarks, every text does;
@@ -37,17 +42,15 @@ from strandgraph.llm.sample import labelled_texts
 
 DECAY, REACH = 0.7, 4
 MIN_SIMILARITY = 0.5
-#: A word counts for its document if its decision value is above this.
-MARGIN = 0.3
 WINDOW = 24
-PER_CLASS, MAX_BYTES = (1200, 600), 20_000
+PER_CLASS, MAX_CHARS = (1200, 600), 10_000
 MAX_TOXIC, MAX_LANDMARKS = 48, 96
 CACHE = 600_000
 START, STOP = "^", "$"
 DROPPED = re.compile(r"[^\w\s]|_")
 #: Three or more tokens of one or two characters in a row: letters spaced out.
 SPACED = re.compile(r"(?<!\S)(?:\S{1,2}[^\S\n]+){2,}\S{1,2}(?!\S)")
-SENTENCE = re.compile(r"[.!?\n]+")
+SENTENCE = re.compile(r"(?<=[.!?])\s+|\n+")
 
 
 def triples(s: str) -> dict[str, float]:
@@ -85,8 +88,13 @@ def stems(word: str) -> list[str]:
     return [marked(word), *(START + word[:k] for k in range(4, min(9, len(word))))]
 
 
+def windows(word: str) -> list[str]:
+    """Overlapping windows that cover a long word."""
+    return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
+
+
 class ToxicSvm:
-    """Landmarks, the decision function over words, its cache, and the document unit."""
+    """Landmarks, the decision function over sentences, the cache of word kernels, and the document unit."""
 
     def __init__(self, landmarks: list[str], n_toxic: int):
         self.landmarks, self.n_toxic = landmarks, n_toxic
@@ -118,9 +126,9 @@ class ToxicSvm:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the caches: decision of every word seen, and the positive ones, at most 1."""
-        self.cache: dict[str, float] = {}
-        self.positive: dict[str, float] = {}
+        """Empty the caches: the words seen, and the kernels of those like a toxic landmark."""
+        self.seen: set[str] = set()
+        self.near: dict[str, np.ndarray] = {}
 
     def kernels(self, string: str) -> np.ndarray:
         """Similarity of a marked string to every landmark."""
@@ -132,9 +140,6 @@ class ToxicSvm:
         at, values = zip(*rows, strict=True)
         return np.array(values) @ self.table[list(at)] / norm
 
-    def features(self, string: str) -> np.ndarray:
-        return self.kernels(string) @ self.root
-
     def may_match(self, strings: list[str]) -> np.ndarray:
         """Whether a string's kernel with some toxic landmark may reach MIN_SIMILARITY.
 
@@ -157,60 +162,73 @@ class ToxicSvm:
     def pieces(self, word: str) -> list[str]:
         """The marked strings to compare: the word without punctuation, its beginnings, windows if it is long, parts between punctuation."""
         whole = clean(word)
-        if len(whole) <= WINDOW:
-            out = [marked(whole)]
-        else:
-            out = [whole[i : i + WINDOW] for i in range(0, len(whole) - WINDOW // 2, WINDOW // 2)]
+        out = [marked(whole)] if len(whole) <= WINDOW else windows(whole)
         out += [START + whole[:k] for k in self.heads if k < len(whole)]
         parts = DROPPED.split(word)
         if len(parts) > 1:
-            out += [marked(p[:WINDOW]) for p in parts if 4 <= len(p) < len(whole)]
+            for p in parts:
+                if 4 <= len(p) < len(whole):
+                    out += [marked(p)] if len(p) <= WINDOW else windows(p)
         return out
 
-    def decide(self, words: set[str]) -> None:
-        """Put the decision values of unseen words into the cache."""
-        new = [u for u in words if u not in self.cache]
+    def compare(self, words: set[str]) -> None:
+        """Put the kernels of unseen words into the cache."""
+        new = [u for u in words if u not in self.seen]
         if not new:
             return
-        if len(self.cache) + len(new) > CACHE:
+        if len(self.seen) + len(new) > CACHE:
             self.forget()
             new = list(words)
+        self.seen.update(new)
         for at in range(0, len(new), 10_000):
             strings, owner = [], []
             for u in new[at : at + 10_000]:
-                self.cache[u] = self.shift
                 for p in self.pieces(u):
                     if len(p) >= 5:
                         strings.append(p)
                         owner.append(u)
             for i in np.flatnonzero(self.may_match(strings)) if strings else ():
-                value = float(self.features(strings[i]) @ self.weights + self.shift)
-                self.cache[owner[i]] = max(self.cache[owner[i]], value)
-                if value > MARGIN:
-                    self.positive[owner[i]] = max(self.positive.get(owner[i], 0.0), min(1.0, value))
-
-    def words(self, text: str) -> tuple[list[str], list[tuple[str, str]]]:
-        """(tokens and joined runs of spaced-out letters, pairs of short tokens that start like a landmark)."""
-        low = text.lower()
-        words = low.split()
+                k = self.kernels(strings[i])
+                if k[: self.n_toxic].max() >= MIN_SIMILARITY:
+                    u = owner[i]
+                    self.near[u] = np.maximum(self.near[u], k) if u in self.near else k
+
+    def windows(self, sentence: str) -> list[str]:
+        """Tokens, joined runs of spaced-out letters, and joined pairs of short tokens that start like a landmark."""
+        words = sentence.split()
         starts, span = self.starts, self.span
-        pairs = [(a, b) for a, b in zip(words, words[1:], strict=False) if len(a) <= 4 and (j := a + b)[:2] in starts and len(j) in span and len(b) <= 5]
-        return words + ["".join(m[0].split()) for m in SPACED.finditer(low)], pairs
+        pairs = [j for a, b in zip(words, words[1:], strict=False) if len(a) <= 4 and (j := a + b)[:2] in starts and len(j) in span and len(b) <= 5]
+        return words + ["".join(m[0].split()) for m in SPACED.finditer(sentence)] + pairs
 
-    def document_features(self, texts: list[str]) -> np.ndarray:
-        """Per text: sum of positive decisions (each at most 1) up to 3, the same damped, and 1."""
-        sums, group, size = [], [], 0
+    def sentences(self, text: str) -> list[list[np.ndarray]]:
+        """For each sentence with a window like a toxic landmark, the kernels of its near windows; they were compared before."""
+        found = []
+        for sentence in SENTENCE.split(text.lower()):
+            near = [self.near[w] for w in self.windows(sentence) if w in self.near]
+            if near:
+                found.append(near)
+        return found
+
+    def groups(self, texts: list[str]):
+        """The near windows of each text's sentences, in groups whose windows are compared together."""
+        group, words, size = [], set(), 0
         for i, text in enumerate(texts):
-            group.append(self.words(text) if self.landmarks else ([], []))
-            size += len(group[-1][0])
+            mine = [w for sentence in SENTENCE.split(text.lower()) for w in self.windows(sentence)] if self.landmarks else []
+            group.append((text, mine))
+            words.update(mine)
+            size += len(mine)
             if size > 300_000 or i == len(texts) - 1:
-                self.decide({u for words, _ in group for u in words} | {a + b for _, pairs in group for a, b in pairs})
-                value = self.positive
-                for words, pairs in group:
-                    found = sum([value[u] for u in words if u in value])
-                    found += sum(value[a + b] for a, b in set(pairs) if a + b in value and a not in value and b not in value)
-                    sums.append(found)
-                group, size = [], 0
+                self.compare(words)
+                near = self.near
+                yield [self.sentences(t) if not near.keys().isdisjoint(m) else [] for t, m in group]
+                group, words, size = [], set(), 0
+
+    def decisions(self, kernels: list[np.ndarray]) -> np.ndarray:
+        return np.array(kernels) @ self.root @ self.weights + self.shift if kernels else np.zeros(0)
+
+    def document_features(self, texts: list[str]) -> np.ndarray:
+        """Per text: sum of its windows' positive decisions (each at most 1) up to 3, the same damped, and 1."""
+        sums = [np.clip(self.decisions([w for sentence in found for w in sentence]), 0, 1).sum() for group in self.groups(texts) for found in group]
         h = np.array(sums, dtype=float)
         return np.stack([np.minimum(h, 3) / 3, np.log1p(h), np.ones(len(h))], axis=1)
 
@@ -287,24 +305,20 @@ def fit(sample: list[tuple[str, int]]) -> ToxicSvm:
                 common[p] += fine[w]
     hard = sorted(common, key=lambda p: (-near[p] * np.log1p(common[p]), p))[:3000]
     model = ToxicSvm(chosen + hard[: MAX_LANDMARKS - len(chosen)], len(chosen))
-    # Labelled sentences: in a toxic document's, strings equal to a landmark are positive; in any other's, the near ones are negative.
-    landmarks, close = set(chosen), set(hard)
-    plus, minus = Counter(), Counter()
-    for text, y in sample:
-        for sentence in SENTENCE.split(text.lower()):
-            for w in sentence.split():
-                if y:
-                    plus.update(landmarks.intersection(stems(clean(w))))
-                else:
-                    minus.update(close.intersection(probe.pieces(w)))
-    strings = [*sorted(plus), *sorted(minus)]
-    x = np.array([model.features(p) for p in strings] + [np.zeros(len(model.landmarks))])
-    s = np.array([1.0] * len(plus) + [-1.0] * (len(minus) + 1))
-    weight = np.array([1 / len(plus)] * len(plus) + [minus[p] ** 0.75 for p in sorted(minus)] + [10.0])
-    weight[len(plus) :] /= weight[len(plus) :].sum()
-    model.weights, model.shift = hinge(x, s, weight)
+    # Labelled sentences: each document's share its weight; a sentence without any near window is a negative one.
+    rows, labels, shares = [np.zeros(len(model.landmarks))], [-1.0], [10.0]
+    texts = [t for t, _ in sample]
+    found = [[np.max(near, axis=0) for near in f] for group in model.groups(texts) for f in group]
+    toxic = sum(1 for f, (_, y) in zip(found, sample, strict=True) if y and f) or 1
+    fine = sum(len(f) for f, (_, y) in zip(found, sample, strict=True) if not y) or 1
+    for sentences, (_, y) in zip(found, sample, strict=True):
+        rows += sentences
+        labels += [1.0 if y else -1.0] * len(sentences)
+        shares += [1 / (toxic * max(1, len(sentences))) if y else 1 / fine] * len(sentences)
+    shares[0] = 1.0
+    model.weights, model.shift = hinge(np.array(rows) @ model.root, np.array(labels), np.array(shares))
     y = np.array([b for _, b in sample], dtype=float)
-    f = model.document_features([t for t, _ in sample])
+    f = model.document_features(texts)
     w, ridge = model.document, np.array([0.02, 0.02, 0.001])
     for _ in range(30):  # Newton steps of a ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(f @ w, -30, 30)))
@@ -329,9 +343,9 @@ def hinge(x: np.ndarray, s: np.ndarray, weight: np.ndarray, cost: float = 300.0,
     return w[:-1], float(w[-1])
 
 
-def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: tuple[int, int] = PER_CLASS, max_bytes: int = MAX_BYTES) -> ToxicSvm:
+def train_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", modulus: int = 3, held_out: int = 1, per_class: tuple[int, int] = PER_CLASS, max_chars: int = MAX_CHARS) -> ToxicSvm:
     """A machine fitted on a bounded sample of the rows outside the held-out fold."""
-    sample, _ = labelled_texts(docs, labels, label, modulus, held_out, per_class, max_bytes)
+    sample, _ = labelled_texts(docs, labels, label, modulus, held_out, per_class, max_chars)
     return fit(sample)
 
 
