@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from strandgraph.plans.fixpoint import WorkTables
 
-__all__ = ["WorkTables", "map_batches", "map_rows", "slices", "texts_of"]
+__all__ = ["WorkTables", "fresh", "map_batches", "map_rows", "slices", "texts_of"]
 
 
 #: Rows handled at once in a worker.  Working on slices keeps their python forms small.
@@ -54,3 +54,11 @@ def map_rows(df: DataFrame, build: Callable[[], Callable[[pa.RecordBatch], pa.Re
 def texts_of(batch: pa.RecordBatch, column: int | str = 1) -> list[str]:
     """The texts of a batch; null counts as empty."""
     return [t or "" for t in batch.column(column).to_pylist()]
+
+
+def fresh(name: str, taken: list[str]) -> str:
+    """A column name that no column of the caller's has, in any case of letters."""
+    low = {t.lower() for t in taken}
+    while name in low:
+        name += "_"
+    return name

@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandgraph.llm.common import WorkTables, map_batches, map_rows, slices
+from strandgraph.llm.common import WorkTables, fresh, map_batches, map_rows, slices
 from strandgraph.operators.component import star_components
 
 SHINGLE, THRESHOLD = 5, 75
@@ -284,11 +284,11 @@ def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) that may link different components of a bucket block; rows come sorted by band and block.
+    """Pairs (a, b) that may link different components; rows come sorted by band, block of members and chunk of seekers.
 
-    A block's rows are the bucket's hub, the classes outside the hub's
-    component (role 1, or 2 if they stand here only as seekers) and the other
-    members (role 0); a hub that is no member of the block has role 3.
+    A group's rows are the bucket's hub, classes outside the hub's component as
+    seekers and members (role 1), seekers only (2) or members only (4), and the
+    other members (0); a hub that is no member of the block has role 3.
     """
     parts: list[dict] = []
 
@@ -301,10 +301,10 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     last, lefts, rights = None, [], []
     for batch in slices(batches):
-        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "c", "n", "role", "is_hub", "band", "block")}
+        cols = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("node", "c", "n", "role", "is_hub", "band", "block", "chunk")}
         sketch = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), dtype=np.uint8).reshape(-1, HASHES)
         bands = batch.column("bands").flatten().to_numpy().reshape(-1, BANDS)
-        key = np.stack([cols.pop("band"), cols.pop("block")])
+        key = np.stack([cols.pop("band"), cols.pop("block"), cols.pop("chunk")])
         cut = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
         for lo, hi in zip([0, *cut], [*cut, len(sketch)], strict=True):
             now = tuple(key[:, lo])
@@ -325,7 +325,7 @@ def crossing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_pairs(node, c, n, role, is_hub, sketch, bands, band_at) -> tuple[list[int], list[int]]:
     """The pairs of one block that the bounds leave."""
     hub = int(np.flatnonzero(is_hub)[0])
-    seek, held = np.flatnonzero((role == 1) | (role == 2)), np.flatnonzero(role < 2)
+    seek, held = np.flatnonzero((role == 1) | (role == 2)), np.flatnonzero((role < 2) | (role == 4))
     if not len(seek) or not len(held):
         return [], []
     band = int(band_at[0])
@@ -359,7 +359,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     work = WorkTables(docs.sparkSession, "near")
     rows, _ = work.save(signatures(docs, id_col, text_col))
     live = rows.where(F.col("doc_id").isNotNull() & (F.col("n") > 0))
-    members = live.groupBy("low", "high").agg(F.min("doc_id").alias("node"))
+    members, _ = work.save(live.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.ceil(F.count("*") / GROUP).cast("int").alias("salts")))
     classes, _ = work.save(live.groupBy("low", "high").agg(F.min("doc_id").alias("node"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")).drop("low", "high"))
     in_band = classes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("bands").alias("at", "band"))
     sizes = in_band.groupBy("band").agg(F.count("*").cast("int").alias("size")).where("size > 1")
@@ -381,24 +381,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         .join(owner.toDF("hub", "hub_c"), "hub", "left")
         .select("band", "at", "node", "n", "size", (F.col("node") == F.col("hub")).alias("is_hub"), F.coalesce("c", "node").alias("c"), F.coalesce("hub_c", "hub").alias("hub_c"))
     )
-    mixed = tagged.where("c <> hub_c").select("band").distinct()
-    open_ = tagged.join(mixed, "band", "left_semi").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     outside = F.col("c") != F.col("hub_c")
-    # Members stand in their own block; seekers and the hub in every one.
+    mixed = tagged.where(outside).groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("chunks"))
+    open_ = tagged.join(mixed, "band").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_ = open_.withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("mine", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
+    # A task sees one block of members and one chunk of seekers: members stand in their own block for every chunk,
+    # seekers in their own chunk for every block, the hub everywhere.
+    blocks, chunks = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("chunks") - 1)
+    place = lambda block, chunk: F.struct(block.alias("block"), chunk.alias("chunk"))
+    as_member = F.transform(chunks, lambda i: place(F.col("own"), i))
+    as_seeker = F.transform(blocks, lambda j: place(j, F.col("mine")))
+    everywhere = F.flatten(F.transform(blocks, lambda j: F.transform(chunks, lambda i: place(j, i))))
+    at_home = F.col("place.block") == F.col("own")
+    role = F.when(~outside, F.when(at_home, 0).otherwise(3)).when(at_home, F.when(F.col("place.chunk") == F.col("mine"), 1).otherwise(4)).otherwise(2)
     dealt = (
-        open_.withColumn("block", F.explode(F.when(outside | F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))))
-        .withColumn("role", F.when(outside, F.when(F.col("block") == F.col("own"), 1).otherwise(2)).when(F.col("block") == F.col("own"), 0).otherwise(3))
-        .select("band", "block", "at", "node", "c", "n", "role", "is_hub")
+        open_.withColumn("place", F.explode(F.when(F.col("is_hub"), everywhere).when(outside, F.array_union(as_member, as_seeker)).otherwise(as_member)))
+        .withColumn("role", role)
+        .select("band", F.col("place.block").alias("block"), F.col("place.chunk").alias("chunk"), "at", "node", "c", "n", "role", "is_hub")
     )
     dealt = dealt.join(classes.select("node", "sketch", "bands"), "node")
-    crossed = map_batches(dealt.repartition("band", "block").sortWithinPartitions("band", "block"), crossing, "a long, b long")
+    crossed = map_batches(dealt.repartition("band", "block", "chunk").sortWithinPartitions("band", "block", "chunk"), crossing, "a long, b long")
     more, _ = work.save(crossed.distinct().join(likely, ["a", "b"], "left_anti").join(likely.toDF("b", "a"), ["a", "b"], "left_anti"))
     if not more.isEmpty():
         links2, _ = work.save(links.union(confirmed(more, text_of, work)).distinct())
         component = star_components(links2, work)
-    named = members.join(component, "node", "left").select("low", "high", F.coalesce("component", "node").alias("component"))
-    joined = rows.select("doc_id", "low", "high", F.col("n").alias("n_shingles")).join(named, ["low", "high"], "left")
+    named = members.join(component, "node", "left").select("low", "high", F.coalesce("component", "node").alias("component"), "salts")
+    # All copies of one text share a key: large groups, of which there are few, are salted.
+    hot = members.where("salts > 1").select("low", "high", F.col("salts").alias("parts"))
+    few = hot.count() <= BROADCAST_IDS
+    marked = rows.join(F.broadcast(hot) if few else hot, ["low", "high"], "left").withColumn("salt", F.coalesce(F.floor(F.rand(5) * F.col("parts")), F.lit(0)).cast("int"))
+    spread = named.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    joined = marked.select("doc_id", "low", "high", F.col("n").alias("n_shingles"), "salt").join(spread, ["low", "high", "salt"], "left")
     found = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return joined.select("doc_id", "low", "high", "n_shingles", found.alias("component_id"), (F.col("doc_id").isNull() | F.coalesce(F.col("doc_id") == found, F.lit(False))).alias("kept"))
 
@@ -406,10 +419,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: that of the component's smallest id, and of its rows the first by digest."""
     names = docs.columns
-    found = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("__kept_id")).distinct()
-    kept = docs.join(found, docs[id_col].cast("long") == F.col("__kept_id"), "left_semi")
-    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.xxhash64(*names))
-    single = kept.withColumn("__row", F.row_number().over(first)).where("__row = 1").select(*[F.col(f"`{n}`") for n in names])
+    kept_id, row = fresh("kept_id", names), fresh("row", names)
+    found = near_duplicates(docs, id_col, text_col).where(F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias(kept_id)).distinct()
+    kept = docs.join(found, docs[id_col].cast("long") == F.col(kept_id), "left_semi")
+    first = Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), F.xxhash64(*[F.col(f"`{n}`") for n in names]))
+    single = kept.withColumn(row, F.row_number().over(first)).where(F.col(row) == 1).select(*[F.col(f"`{n}`") for n in names])
     return single.union(docs.where(F.col(id_col).isNull()))
 
 

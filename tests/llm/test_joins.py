@@ -156,6 +156,8 @@ def brute_components(docs):
 @pytest.mark.parametrize("block", [4096, 7])
 def test_near_duplicates(spark, monkeypatch, block):
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    if block == 7:
+        monkeypatch.setattr(near_dedup, "GROUP", 2)
     r = random.Random(7)
     docs, i = [], 0
     for _ in range(12):
@@ -166,13 +168,15 @@ def test_near_duplicates(spark, monkeypatch, block):
                 w[r.randrange(len(w))] = r.choice(WORDS)
             docs.append((i, r.choice([" ", "\n", "  "]).join(w)))
             i += 1
+    docs += [(i + 10 + k, "many copies of the very same short text") for k in range(9)]
     docs += [(i, None), (i + 1, ""), (i + 2, " \t "), (i + 3, "one"), (i + 4, "ONE"), (i + 5, "É x"), (i + 6, "é x")]
     r.shuffle(docs)
-    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("component_id", F.lit("clash"))
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumn("component_id", F.lit("clash")).withColumn("__row", F.lit(7)).withColumn("kept_id", F.lit(8)).withColumn("row", F.lit(9))
     got = sorted(tuple(x) for x in near_dedup.near_duplicates(table).select("doc_id", "n_shingles", "component_id", "kept").collect())
     assert got == brute_components(docs)
     kept = near_dedup.keep_one(table)
     assert kept.columns == table.columns
+    assert {(x["__row"], x["kept_id"], x["row"]) for x in kept.collect()} == {(7, 8, 9)}
     assert sorted(x["doc_id"] for x in kept.collect()) == sorted(i for i, _, _, k in brute_components(docs) if k)
 
 
