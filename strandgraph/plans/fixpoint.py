@@ -5,16 +5,24 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a private one only if none is set."""
+    """The folder that driver and executors share.
+
+    Where none is set, a local session gets a private one; on a cluster, whose
+    executors could not see that, the warehouse folder is used.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="strandgraph-")
+        if spark.sparkContext.master.startswith("local"):
+            base = "file://" + tempfile.mkdtemp(prefix="strandgraph-")
+        else:
+            base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
 
@@ -38,6 +46,16 @@ def _clean_up() -> None:
             return
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Remove the work tables begun inside once it ends: for results that were written or collected there."""
+    before = set(_folders)
+    yield
+    for path in _folders - before:
+        _delete(spark, path)
+        _folders.discard(path)
+
+
 class WorkTables:
     """Tables written to the shared folder to cut lineage; ``drop`` removes one early, the end of the process the rest."""
 
