@@ -7,9 +7,9 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandgraph.plans.fixpoint import WorkTables
+from strandgraph.plans.fixpoint import WorkTables, scope as work_scope
 
-__all__ = ["WorkTables", "fresh", "map_batches", "map_rows", "slices", "texts_of"]
+__all__ = ["WorkTables", "fresh", "map_batches", "map_rows", "slices", "texts_of", "work_scope"]
 
 
 #: Rows handled at once in a worker.  Working on slices keeps their python forms small.
