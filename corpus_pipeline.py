@@ -2,6 +2,14 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the
 last return the columns of ``documents``.
+
+Defined results: an empty table gives an empty result.  Repeated rows: the
+near-dedup keeps one row of each group, rows that share an id included.  A null
+text counts as an empty one: the classifier scores it, near-dedup links it with
+nothing (one row an id stays), it holds no benchmark passage and no secret, and
+has no tokens.  A row with a null id takes no part in near-dedup and stays.
+Texts of any length are read whole.  Columns besides doc_id and text pass
+through as they are (n_chars follows a masked text), whatever their names.
 """
 
 from __future__ import annotations
@@ -9,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from strandgraph.llm import bpe, decontam, near_dedup, quality, secret_scan
-from strandgraph.llm.common import WorkTables
+from strandgraph.llm.common import WorkTables, work_scope
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,5 +63,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     work = WorkTables(spark, "pipeline")
     for _, stage in STAGES:
-        docs, _ = work.save(stage(spark, docs, sf_dir))
+        with work_scope(spark):
+            docs, _ = work.save(stage(spark, docs, sf_dir))
     return docs
