@@ -192,7 +192,7 @@ def cypher_multi_hop(spark, d):
     return rows(tables.trade(spark, d), 'MATCH (c:Customer)-[:PLACED]->(o:Order)-[:CONTAINS]->(p:Part) WHERE c.segment = "HOUSEHOLD" RETURN c.id, p.id')
 
 
-@query("SELECT o.id AS o_id, a.from_id AS c_id, b.to_id AS s_id FROM n o JOIN e a ON a.to_id = o.id AND a.edge_type = 'PLACED' JOIN e b ON b.from_id = o.id AND b.edge_type = 'SHIPPED_BY' WHERE o.status = 'O'")
+@query("SELECT o_orderkey + 10000001 AS o_id, o_custkey + 2000001 AS c_id, l_suppkey + 1000001 AS s_id FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'O'", "one AS (SELECT 1)")
 def cypher_star(spark, d):
     return rows(tables.trade(spark, d), 'MATCH (c:Customer)-[:PLACED]->(o:Order), (o)-[:SHIPPED_BY]->(s:Supplier) WHERE o.status = "O" RETURN o.id, c.id, s.id')
 
@@ -669,7 +669,8 @@ def chain3_iso(spark, d):
 
 
 @query(
-    ", x AS (SELECT DISTINCT from_id, to_id FROM e WHERE edge_type IN ('PLACED', 'CONTAINS')) SELECT a.from_id AS n0, a.to_id AS n1, b.to_id AS n2, c.to_id AS n3 FROM x a JOIN x b ON b.from_id = a.from_id AND b.to_id <> a.to_id JOIN x c ON c.from_id = a.to_id JOIN x f ON f.from_id = b.to_id AND f.to_id = c.to_id"
+    "SELECT a.c + 2000001 AS n0, a.o + 10000001 AS n1, b.o + 10000001 AS n2, a.p + 3000001 AS n3 FROM ol a JOIN ol b ON a.c = b.c AND a.p = b.p AND a.o <> b.o",
+    "ol AS (SELECT DISTINCT o_custkey AS c, o_orderkey AS o, l_partkey AS p FROM orders JOIN lineitem ON l_orderkey = o_orderkey)",
 )
 def diamond_iso(spark, d):
     g = tables.trade(spark, d)
