@@ -10,10 +10,11 @@ import json
 from collections.abc import Iterable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from strandgraph.errors import InvalidInput, NotFound
 from strandgraph.functions.json import glob_pattern
+from strandgraph.plans.fixpoint import WorkTables
 
 NODES = "id long, kind string, name string, file_path string, data string"
 EDGES = "id long, from_id long, to_id long, edge_type string, data string"
@@ -261,17 +262,23 @@ class Graph:
 
 
 def numbered(frame: DataFrame, first: int) -> DataFrame:
-    """Consecutive ids per partition: sizes of the partitions are counted once, then added up."""
-    tagged = frame.withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    sizes = {r["__p"]: r["n"] for r in tagged.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    starts, at = {}, first
-    for p in sorted(sizes):
-        starts[p], at = at, at + sizes[p]
-    offset = F.create_map(*[x for p, s in starts.items() for x in (F.lit(p), F.lit(s))]) if starts else None
-    if offset is None:
-        return frame.withColumn("id", F.lit(first).cast("long"))
-    row = F.row_number().over(Window.partitionBy("__p").orderBy("__i"))
-    return tagged.withColumn("id", (F.try_element_at(offset, F.col("__p")) + row - 1).cast("long")).drop("__p", "__i")
+    """Consecutive ids per partition.
+
+    The rows are written with the partition that made them, so that what is
+    counted is what is numbered, whatever is retried or replanned later; the
+    partitions' offsets, one row each, are joined.
+    """
+    work = WorkTables(frame.sparkSession, "numbered")
+    tagged, _ = work.save(frame.withColumn("__i", F.monotonically_increasing_id()))
+    # The upper bits of the running number are the partition, the lower ones the place in it.
+    tagged = tagged.withColumn("__p", F.shiftright("__i", 33)).withColumn("__at", F.col("__i").bitwiseAND(F.lit((1 << 33) - 1)))
+    sizes = tagged.groupBy("__p").agg(F.count("*").alias("n")).orderBy("__p").collect()
+    starts, at = [], first
+    for r in sizes:
+        starts.append((r["__p"], at))
+        at += r["n"]
+    offsets = frame.sparkSession.createDataFrame(starts, "__p long, __start long")
+    return tagged.join(F.broadcast(offsets), "__p").withColumn("id", F.col("__start") + F.col("__at")).drop("__p", "__i", "__at", "__start")
 
 
 class Transaction:

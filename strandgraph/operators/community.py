@@ -95,5 +95,22 @@ def cycles_containing(basis: DataFrame, node: int) -> DataFrame:
     return basis.where(F.array_contains("cycle", node))
 
 
+def is_cyclic(basis: DataFrame, node: int) -> bool:
+    """Whether the node lies on a cycle of the basis."""
+    return not cycles_containing(basis, node).isEmpty()
+
+
+def explain_cycle(basis: DataFrame, node: int) -> str:
+    """The cycles of the basis through a node, in words."""
+    found = [r["cycle"] for r in cycles_containing(basis, node).orderBy("cycle").collect()]
+    if not found:
+        return f"Node {node} is not part of any cycle"
+    return f"Node {node} is in {len(found)} cycle(s): " + "; ".join(" -> ".join(map(str, c)) for c in found)
+
+
+def cyclic_component_count(basis: DataFrame) -> int:
+    return basis.select("component").distinct().count()
+
+
 def has_cycles(basis: DataFrame) -> bool:
     return not basis.isEmpty()

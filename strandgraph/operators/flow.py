@@ -114,6 +114,29 @@ def control_dependence(cfgs: DataFrame, end: int | Sequence[int] | None = None)
     return _run(cfgs, "controller long, dependent long", ["controller", "dependent"], rows)
 
 
+def control_dependence_from_exit(cfgs: DataFrame, end: int) -> DataFrame:
+    """The dependence of graphs whose one exit is stated."""
+    return control_dependence(cfgs, end)
+
+
+def controlled_by(dependences: DataFrame, controller: int) -> DataFrame:
+    """(cfg, id) that a node controls."""
+    return dependences.where(F.col("controller") == controller).select("cfg", F.col("dependent").alias("id"))
+
+
+def dependencies_of(dependences: DataFrame, dependent: int) -> DataFrame:
+    """(cfg, id) that a node depends on."""
+    return dependences.where(F.col("dependent") == dependent).select("cfg", F.col("controller").alias("id"))
+
+
+def controls(dependences: DataFrame, controller: int, dependent: int) -> bool:
+    return not controlled_by(dependences, controller).where(F.col("id") == dependent).isEmpty()
+
+
+def depends_on(dependences: DataFrame, dependent: int, controller: int) -> bool:
+    return controls(dependences, controller, dependent)
+
+
 def natural_loops(cfgs: DataFrame, entry: int | None = None) -> DataFrame:
     """(cfg, header, id, back_edges, depth): a row for each body node; depth counts the loops around the header."""
 

@@ -117,6 +117,28 @@ def critical_path(g: Graph, weight: Column | None = None) -> dict:
     return {"length": last["distance"] if last else 0.0, "path": list(last["path"]) if last else [], "distances": distances}
 
 
+def bottlenecks(result: dict) -> set[int]:
+    """The nodes of the critical path: a delay of any one delays the end."""
+    return set(result["path"])
+
+
+def is_bottleneck(result: dict, node: int) -> bool:
+    return node in result["path"]
+
+
+def toposort(g: Graph) -> list[int]:
+    """Node ids level by level, smallest first; raises on a cycle.  For graphs whose ids fit the driver."""
+    return [r["id"] for r in topological_levels(g).orderBy("level", "id").toLocalIterator()]
+
+
+def is_cyclic(g: Graph) -> bool:
+    try:
+        topological_levels(g)
+    except CycleDetected:
+        return True
+    return False
+
+
 def slack(g: Graph, result: dict, weight: Column | None = None) -> DataFrame:
     """(id, slack): how much later than its distance a node may lie without lengthening the critical path."""
     flipped = g.with_frames(edges=g.edges.select("id", F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "edge_type", "data"))
@@ -132,6 +154,8 @@ def impact_radius(g: Graph, source: int, max_distance: float | None = None, max_
     """
     work = WorkTables(g.spark, "impact")
     edges = g.edges.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("w"))
+    if weight is not None and not edges.where(F.col("w").isNull() | F.isnan("w") | (F.col("w") < 0) | (F.col("w") == float("inf"))).isEmpty():
+        raise InvalidInput("edge weights must be finite and not negative")
     best, path = work.save(g.nodes.where(F.col("id") == source).select("id", F.lit(0.0).alias("distance")))
     changed, hops = best, 0
     while not changed.isEmpty() and (max_hops is None or hops < max_hops):

@@ -110,6 +110,13 @@ def bfs_iter(g: Graph, start: int) -> Iterator[int]:
         yield row["id"]
 
 
+def dfs_iter(g: Graph, start: int) -> Iterator[int]:
+    """Ids in depth-first order, the start first, fetched as they are read."""
+    yield start
+    for row in dfs_traversal(g, start).toLocalIterator():
+        yield row["id"]
+
+
 def dfs_traversal(g: Graph, start: int) -> DataFrame:
     """(position, id) in stack order without the start; one task walks what the start reaches."""
     live = bfs_levels(g, [start]).select("id")
@@ -124,4 +131,4 @@ def dfs_traversal(g: Graph, start: int) -> DataFrame:
     return edges.groupBy("walk").applyInPandas(walk, "position long, id long").orderBy("position")
 
 
-__all__ = ["BOTH", "INCOMING", "OUTGOING", "bfs", "bfs_filtered", "bfs_frontier", "bfs_iter", "bfs_levels", "dfs_traversal", "has_path", "k_hop", "multi_source", "shortest_path", "shortest_paths"]
+__all__ = ["BOTH", "INCOMING", "OUTGOING", "bfs", "bfs_filtered", "bfs_frontier", "bfs_iter", "bfs_levels", "dfs_iter", "dfs_traversal", "has_path", "k_hop", "multi_source", "shortest_path", "shortest_paths"]

@@ -8,14 +8,19 @@ nothing to build, and results are exact rather than approximate.
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import asdict, dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from strandgraph.errors import InvalidInput, NotFound
 from strandgraph.functions.vectors import METRICS, distance, literal
+from strandgraph.plans.fixpoint import WorkTables
 
+#: Queries of a batch search that are sent out at once.
+QUERY_BLOCK = 1024
 SCHEMA = "id long, embedding array<float>, metadata string"
 
 
@@ -86,11 +91,58 @@ def knn(vectors: DataFrame, query: Sequence[float], k: int, metric: str, allow:
 
 
 def knn_join(queries: DataFrame, vectors: DataFrame, k: int, metric: str) -> DataFrame:
-    """(query_id, rank, id, distance) for a stated set of query rows against all vectors; a row is no neighbour of its own id."""
-    q = queries.select(F.col("id").alias("query_id"), F.col("embedding").alias("q"))
-    scored = q.join(vectors, F.col("query_id") != F.col("id")).select("query_id", "id", distance(metric, F.col("embedding"), F.col("q")).alias("distance"))
+    """(query_id, rank, id, distance) for a stated set of query rows against all vectors; a row is no neighbour of its own id.
+
+    The queries go out in blocks of at most QUERY_BLOCK; each block is one scan
+    of the vectors, which stay where they are, and only a task's k nearest of
+    each query are written and ranked.
+    """
+    spark, work = vectors.sparkSession, WorkTables(vectors.sparkSession, "knn")
+    stated, _ = work.save(queries.select("id", "embedding"))
+    blocks = max(1, -(-2 * stated.count() // QUERY_BLOCK)) if stated.count() > QUERY_BLOCK else 1
+    schema, paths = "query_id long, id long, distance double", []
+    for block in range(blocks):
+        rows = stated.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
+        sent = spark.sparkContext.broadcast(([r["id"] for r in rows], [list(r["embedding"]) for r in rows]))
+        paths.append(work.save(vectors.select("id", "embedding").mapInArrow(_nearest(sent, k, metric), schema))[1])
     order = Window.partitionBy("query_id").orderBy("distance", "id")
-    return scored.where(F.col("distance").isNotNull()).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+    found = spark.read.schema(schema).parquet(*paths)
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "id", "distance")
+
+
+def _nearest(sent, k: int, metric: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = sent.value
+        ids, q = np.array(names, dtype=np.int64), np.array(vectors, dtype=np.float64)
+        best_d, best_i = np.full((len(ids), 0), np.inf), np.zeros((len(ids), 0), dtype=np.int64)
+        for batch in batches:
+            for at in range(0, batch.num_rows if len(ids) else 0, 512):
+                piece = batch.slice(at, 512)
+                x = np.array(piece.column("embedding").to_pylist(), dtype=np.float64)
+                here = piece.column("id").to_numpy()
+                d = pairwise(metric, q, x)
+                d[(ids[:, None] == here) | np.isnan(d)] = np.inf
+                best_d, best_i = np.hstack([best_d, d]), np.hstack([best_i, np.tile(here, (len(ids), 1))])
+                keep = np.lexsort((best_i, best_d), axis=1)[:, :k]
+                best_d, best_i = np.take_along_axis(best_d, keep, 1), np.take_along_axis(best_i, keep, 1)
+        real = np.isfinite(best_d)
+        if real.any():
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, real.sum(axis=1))), pa.array(best_i[real]), pa.array(best_d[real])], ["query_id", "id", "distance"])
+
+    return run
+
+
+def pairwise(metric: str, q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distances of every query to every vector, as ``functions.vectors.distance`` defines them; NaN: none."""
+    if metric == "manhattan":
+        return np.stack([np.abs(x - row).sum(axis=1) for row in q])
+    if metric == "euclidean":
+        return np.stack([np.sqrt(((x - row) ** 2).sum(axis=1)) for row in q])
+    dots = np.stack([(x * row).sum(axis=1) for row in q])  # the same for equal vectors wherever they stand
+    if metric == "dot":
+        return -dots
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return (1 - dots / (np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1))) / 2
 
 
 class IndexRegistry:

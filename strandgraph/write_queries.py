@@ -288,6 +288,16 @@ def index_insert_vector(spark, d):
     return _one(spark, "id long, vectors long", ids[0], more.statistics()["vectors"])
 
 
+@query(
+    f"SELECT query_id, CAST(k AS INTEGER) AS rank, id, round(distance, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, id) AS k FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, {_DIST['euclidean']} AS distance FROM x a JOIN x b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)) WHERE k <= 10",
+    _X,
+)
+def knn_batch(spark, d):
+    """Every vector whose id is divisible by 20 against all vectors."""
+    frame = tables.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return vector.knn_join(frame.where("id % 20 = 0"), frame, 10, "euclidean").select("query_id", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 # -- hooks ----------------------------------------------------------------------------------------------
 
 

@@ -180,3 +180,65 @@ def test_races(spark):
     rows = [(1, 1, 5, "W"), (2, 2, 5, "R"), (3, 2, 6, "R"), (4, 1, 6, "R"), (5, 1, 5, "R")]
     events = spark.createDataFrame(rows, "event_id long, thread_id long, location long, op string")
     assert values(trace.races(trace.local_clocks(events))) == [(5, 1, 2)]
+
+
+def test_result_helpers(spark):
+    import pytest
+
+    from pyspark.sql import functions as F
+    from strandgraph.errors import InvalidInput
+    from strandgraph.operators import community, flow, reach, traverse
+
+    diamond = graph_of(spark, [1, 2, 3, 4, 5], [(1, 2), (1, 3), (2, 4), (3, 4), (4, 5)])
+    path = reach.critical_path(diamond)
+    assert reach.bottlenecks(path) == {1, 2, 4, 5} and reach.is_bottleneck(path, 2) and not reach.is_bottleneck(path, 3)
+    assert reach.toposort(diamond) == [1, 2, 3, 4, 5] and not reach.is_cyclic(diamond)
+    assert list(traverse.dfs_iter(diamond, 1))[0] == 1 and set(traverse.dfs_iter(diamond, 1)) == {1, 2, 3, 4, 5}
+    with pytest.raises(InvalidInput):
+        reach.impact_radius(diamond, 1, weight=F.lit(-1.0))
+    ring = graph_of(spark, [1, 2, 3, 4], [(1, 2), (2, 3), (3, 1), (3, 4)])
+    assert reach.is_cyclic(ring)
+    basis = community.cycle_basis(ring)
+    assert community.is_cyclic(basis, 2) and not community.is_cyclic(basis, 4) and community.cyclic_component_count(basis) == 1
+    assert "1 cycle(s)" in community.explain_cycle(basis, 1) and "not part" in community.explain_cycle(basis, 4)
+    cfgs = spark.createDataFrame([(1, a, b) for a, b in [(1, 2), (1, 3), (2, 4), (3, 4)]], "cfg long, src long, dst long")
+    found = flow.control_dependence_from_exit(cfgs, 4)
+    assert {r["id"] for r in flow.controlled_by(found, 1).collect()} == {2, 3} and flow.controls(found, 1, 2) and flow.depends_on(found, 3, 1)
+    assert {r["id"] for r in flow.dependencies_of(found, 2).collect()} == {1}
+
+
+def test_batch_search_against_brute_force(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import functions as F
+    from strandgraph.operators import vector
+
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 4)
+    r = random.Random(8)
+    rows = [(i, [float(r.randint(-2, 2)) for _ in range(3)]) for i in range(60)]
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>")
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    metrics = {
+        "cosine": lambda a, b: (1 - dot(a, b) / (norm(a) * norm(b))) / 2 if norm(a) * norm(b) else None,
+        "euclidean": lambda a, b: norm([x - y for x, y in zip(a, b, strict=True)]),
+        "dot": lambda a, b: -dot(a, b),
+        "manhattan": lambda a, b: sum(abs(x - y) for x, y in zip(a, b, strict=True)),
+    }
+    for metric, of in metrics.items():
+        got = {}
+        for x in vector.knn_join(frame.where("id % 6 = 0"), frame, 5, metric).collect():
+            got.setdefault(x["query_id"], []).append((x["rank"], round(x["distance"], 9)))
+        for q, v in rows[::6]:
+            want = sorted(round(dist, 9) for i, u in rows if i != q and (dist := of(v, u)) is not None)[:5]
+            assert [d for _, d in sorted(got.get(q, []))] == want, metric
+
+
+def test_numbered_after_a_shuffle(spark):
+    from pyspark.sql import functions as F
+    from strandgraph.graph import numbered
+
+    frame = spark.range(1000).withColumn("k", F.col("id") % 7).repartition(5, "k").select("k")
+    ids = [r["id"] for r in numbered(frame, 11).collect()]
+    assert sorted(ids) == list(range(11, 1011))
+    assert numbered(frame.where("false"), 5).count() == 0
