@@ -126,9 +126,10 @@ class ToxicSvm:
         self.forget()
 
     def forget(self) -> None:
-        """Empty the caches: the words seen, and the kernels of those like a toxic landmark."""
+        """Empty the caches: the words seen, the kernels of those like a toxic landmark, and the decisions on these."""
         self.seen: set[str] = set()
         self.near: dict[str, np.ndarray] = {}
+        self.value: dict[str, float] = {}
 
     def kernels(self, string: str) -> np.ndarray:
         """Similarity of a marked string to every landmark."""
@@ -209,18 +210,24 @@ class ToxicSvm:
                 found.append(near)
         return found
 
+    def text_windows(self, text: str) -> list[str]:
+        """The windows of a whole text: sentences end at white space, so they matter only to runs of spaced-out letters."""
+        low = text.lower() if self.landmarks else ""
+        if SPACED.search(low):
+            return [w for sentence in SENTENCE.split(low) for w in self.windows(sentence)]
+        return self.windows(low)
+
     def groups(self, texts: list[str]):
-        """The near windows of each text's sentences, in groups whose windows are compared together."""
+        """(text, its windows) in groups whose windows are compared together."""
         group, words, size = [], set(), 0
         for i, text in enumerate(texts):
-            mine = [w for sentence in SENTENCE.split(text.lower()) for w in self.windows(sentence)] if self.landmarks else []
+            mine = self.text_windows(text)
             group.append((text, mine))
             words.update(mine)
             size += len(mine)
             if size > 300_000 or i == len(texts) - 1:
                 self.compare(words)
-                near = self.near
-                yield [self.sentences(t) if not near.keys().isdisjoint(m) else [] for t, m in group]
+                yield group
                 group, words, size = [], set(), 0
 
     def decisions(self, kernels: list[np.ndarray]) -> np.ndarray:
@@ -228,7 +235,12 @@ class ToxicSvm:
 
     def document_features(self, texts: list[str]) -> np.ndarray:
         """Per text: sum of its windows' positive decisions (each at most 1) up to 3, the same damped, and 1."""
-        sums = [np.clip(self.decisions([w for sentence in found for w in sentence]), 0, 1).sum() for group in self.groups(texts) for found in group]
+        sums = []
+        for group in self.groups(texts):
+            new = [w for w in self.near if w not in self.value]
+            self.value.update(zip(new, np.clip(self.decisions([self.near[w] for w in new]), 0, 1).tolist(), strict=True))
+            value = self.value
+            sums += [sum([value[w] for w in mine if w in value]) for _, mine in group]
         h = np.array(sums, dtype=float)
         return np.stack([np.minimum(h, 3) / 3, np.log1p(h), np.ones(len(h))], axis=1)
 
@@ -308,7 +320,7 @@ def fit(sample: list[tuple[str, int]]) -> ToxicSvm:
     # Labelled sentences: each document's share its weight; a sentence without any near window is a negative one.
     rows, labels, shares = [np.zeros(len(model.landmarks))], [-1.0], [10.0]
     texts = [t for t, _ in sample]
-    found = [[np.max(near, axis=0) for near in f] for group in model.groups(texts) for f in group]
+    found = [[np.max(near, axis=0) for near in model.sentences(text)] for group in model.groups(texts) for text, _ in group]
     toxic = sum(1 for f, (_, y) in zip(found, sample, strict=True) if y and f) or 1
     fine = sum(len(f) for f, (_, y) in zip(found, sample, strict=True) if not y) or 1
     for sentences, (_, y) in zip(found, sample, strict=True):
