@@ -33,9 +33,13 @@ from strandgraph.llm.common import map_rows, texts_of
 END = "</w>"
 #: Unicode White_Space, spelled out so that no library's reading of \s matters.
 SPACE = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Code points beyond the first plane.
+HIGH = "\U00010000-\U0010ffff"
 #: Entries of one cache generation; caching never changes a result.
 CACHE = 200_000
 NEVER = 1 << 60
+#: White space to Python alone.
+NO_SPACE = "\x1c\x1d\x1e\x1f"
 # Letters and numbers that Unicode 16 adds to 15.1.
 NEW_LETTERS = (
     (0x1C89, 0x1C8A), (0xA7CB, 0xA7CD), (0xA7DA, 0xA7DC), (0x105C0, 0x105F3), (0x10D4A, 0x10D65), (0x10D6F, 0x10D85), (0x10EC2, 0x10EC4),
@@ -52,17 +56,27 @@ def byte_alphabet() -> list[str]:
     return [chr(b) if b in keep else chr(next(rest)) for b in range(256)]
 
 
-def char_class(initial: str, added: tuple = ()) -> str:
-    """The ranges of a regex character class: code points of one general category group of Unicode 15.1, and those ``added``."""
+def char_class(initial: str, added: tuple = ()) -> tuple[str, str]:
+    """The ranges of regex character classes: code points of one general category group of Unicode 15.1, and those ``added``."""
     inside = [unicodedata.category(chr(c))[0] == initial for c in range(sys.maxunicode + 1)]
     for a, b in added:
         inside[a : b + 1] = [True] * (b + 1 - a)
-    return ranges(inside)
+    return planes(inside)
 
 
-def ranges(inside: list[bool]) -> str:
+def planes(inside: list[bool]) -> tuple[str, str]:
+    """The ranges below U+10000 and those from there on.
+
+    Python's regex engine looks the former up in a table, but goes through the
+    latter one by one, so a class of both costs hundreds of steps for each code
+    point that is in neither.
+    """
+    return ranges(inside[:0x10000]), ranges(inside[0x10000:], 0x10000)
+
+
+def ranges(inside: list[bool], base: int = 0) -> str:
     out, start = [], None
-    for c, x in enumerate([*inside, False]):
+    for c, x in enumerate([*inside, False], base):
         if x and start is None:
             start = c
         elif not x and start is not None:
@@ -72,7 +86,7 @@ def ranges(inside: list[bool]) -> str:
 
 
 @lru_cache(maxsize=1)
-def rare() -> re.Pattern:
+def rare() -> tuple[re.Pattern, re.Pattern]:
     """Code points whose composition or lower case Python and the library may see differently.
 
     Those that Python takes for unassigned, marks outside the oldest block (the
@@ -80,7 +94,8 @@ def rare() -> re.Pattern:
     pairs were given compositions in between.  Texts with any take a longer way.
     """
     inside = [unicodedata.category(c) == "Cn" or i > 0x36F and unicodedata.combining(c) > 0 or 0x11930 <= i <= 0x11938 for i, c in enumerate(map(chr, range(sys.maxunicode + 1)))]
-    return re.compile("[" + ranges(inside) + "]")
+    below, above = planes(inside)
+    return re.compile(f"[{below}]"), re.compile(f"[{above}]")
 
 
 class Memo(dict):
@@ -114,22 +129,34 @@ class WordBpe:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
-        self.space = re.compile(f"[{SPACE}]+")
-        letters, numbers = char_class("L", NEW_LETTERS), char_class("N", NEW_NUMBERS)
+        self.space, self.high = re.compile(f"[{SPACE}]+"), re.compile(f"[{HIGH}]")
+        (letters, high_letters), (numbers, high_numbers) = char_class("L", NEW_LETTERS), char_class("N", NEW_NUMBERS)
         self.rare, self.path = rare(), path
-        self.words = re.compile(rf"[{letters}]+|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|[^{SPACE}{letters}{numbers}]+")
+        # The classes of high code points are only tried on one.
+        self.words = re.compile(
+            rf"(?:[{letters}]++|(?=[{HIGH}])[{high_letters}]++)++|'s|'t|'re|'ve|'m|'ll|'d|[{numbers}]|(?=[{HIGH}])[{high_numbers}]"
+            rf"|(?:[^{SPACE}{letters}{numbers}{HIGH}]++|(?=[{HIGH}])[^\0-\uffff{high_letters}{high_numbers}]++)++"
+        )
         self.alphabet = byte_alphabet()
         bodies = (t.removesuffix(END) for t in self.vocab)
         self.joined = {t[i : i + 2] for t in bodies for i in range(len(t) - 1)}
-        self.cache = Memo(self.word_piece)
+        self.cache = Memo(self.chunk_piece)
         self.fragments = Memo(lambda key: self.merge(key[1:], key[0] == "$"))
 
     def normalize(self, text: str) -> str:
+        """The library's normal form, but for white space, which is kept as it is unless the library's normaliser is asked."""
         if not text.isascii():
-            if self.rare.search(text):
+            low, high = self.rare
+            if low.search(text) or self.high.search(text) and high.search(text):
                 return library(self.path).normalizer.normalize_str(text)
             text = unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3")
-        return self.space.sub(" ", text).lower()
+        return text.lower()
+
+    def chunks(self, text: str) -> list[str]:
+        """What white space separates in a text; no word reaches over it."""
+        if any(c in text for c in NO_SPACE):
+            return [c for c in self.space.split(text) if c]
+        return text.split()
 
     def cut(self, symbols: str) -> list[str]:
         """The fragments of a word between its forced boundaries."""
@@ -186,13 +213,21 @@ class WordBpe:
         ids = self.word_ids(word)
         return struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode("utf-8")
 
+    def chunk_piece(self, chunk: str) -> tuple[bytes, bytes]:
+        """The piece of a chunk; its words, if it has several, are chunks of their own."""
+        words = self.words.findall(chunk)
+        if len(words) == 1:
+            return self.word_piece(chunk)
+        ids, decoded = zip(*map(self.cache.__getitem__, words), strict=True)
+        return b"".join(ids), b" ".join(decoded)
+
     def pieces(self, text: str) -> list[tuple[bytes, bytes]]:
-        """(ids as little-endian unsigned 32-bit integers, their decoded tokens in UTF-8) of each word and special token."""
+        """(ids as little-endian unsigned 32-bit integers, their decoded tokens in UTF-8) of each chunk and special token."""
         parts = self.split_special.split(text) if self.split_special else [text]
-        out = list(map(self.cache.__getitem__, self.words.findall(self.normalize(parts[0]))))
+        out = list(map(self.cache.__getitem__, self.chunks(self.normalize(parts[0]))))
         for special, part in zip(parts[1::2], parts[2::2], strict=True):
             out.append((struct.pack("<I", self.special[special]), special.encode()))
-            out += map(self.cache.__getitem__, self.words.findall(self.normalize(part)))
+            out += map(self.cache.__getitem__, self.chunks(self.normalize(part)))
         return out
 
     def encode(self, text: str) -> list[int]:

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from hashlib import sha256
 
 import pytest
@@ -152,6 +153,33 @@ def test_forced_boundaries_never_change_the_result():
         assert "".join(coder.cut(symbols)) == symbols
 
 
+def test_chunks_are_encoded_like_their_words():
+    coder, r = bpe.encoder(bpe.vocabulary_path()), random.Random(5)
+    pool = ["the", "é", "it's", "''s", "x1", "42", "½", "...", "(", "日本", "🙂", "\U00010400", "\U0001d7d8", "\x1c", "\x1f", " ", "\u2003", "\n"]
+    for _ in range(2000):
+        text = "".join(r.choice(pool) for _ in range(r.randint(0, 15)))
+        words = coder.words.findall(coder.normalize(text))
+        assert "".join(words) == re.sub(f"[{bpe.SPACE}]", "", coder.normalize(text))
+        assert coder.encode(text) == [i for w in words for i in coder.word_ids(w)]
+        assert b" ".join([p[1] for p in coder.pieces(text)]).decode() == coder.decode(coder.encode(text))
+
+
+def test_code_points_are_not_compared_with_every_range():
+    coder, text = bpe.encoder(bpe.vocabulary_path()), "né à côté, " * 20_000
+
+    def cost(run):
+        took = []
+        for _ in range(3):
+            start = time.process_time()
+            run()
+            took.append(time.process_time() - start)
+        return min(took)
+
+    plain = cost(lambda: re.findall(r"[^\W\d_]+|[^\w\s]+", text))
+    assert cost(lambda: coder.normalize(text)) < 3 * plain
+    assert cost(lambda: coder.words.findall(text)) < 6 * plain
+
+
 def test_bpe_rows(spark, odd, none):
     rows = bpe.encode_digests(odd).collect()
     assert len(rows) == len(ODD) and {r["n_tokens"] for r in rows if r["doc_id"] in (1, 2)} == {0}
