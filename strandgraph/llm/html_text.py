@@ -26,7 +26,7 @@ A host of at most ``SHARD_BYTES`` of html is one group.  A larger one is not
 sent to one task: each input split sorts the suffixes of its own pages, gives
 out the fingerprints (48 bits) of their first ``WINDOW`` tokens, once for each
 of up to LEAST_PAGES pages, and these are added up over the splits, dealt by
-value.  A token lies in a repeat exactly if it lies in one of WINDOW tokens,
+value, and so are the places of short blocks, from the same read.  A token lies in a repeat exactly if it lies in one of WINDOW tokens,
 so the result is the same, but for fingerprints that agree by chance.
 
 Defined results: null html counts as empty and gives an empty text; a null url
@@ -38,8 +38,10 @@ html are read.
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from hashlib import blake2b
 from html import unescape
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -99,7 +101,7 @@ class Page:
         self.buffer: list[str] = []
         self.stack: list[str] = []
         #: Depths of the open elements of each name, and of those that are blocks.
-        self.depths: dict[str, list[int]] = {}
+        self.depths: dict[str, list[int]] = defaultdict(list)
         self.open_blocks: list[int] = []
         self.drop = self.main = 0  # depth of the stack at which the mode began; 0: off
         self.read(html)
@@ -114,7 +116,7 @@ class Page:
                     self.inside.append(text)
 
     def push(self, name: str) -> None:
-        self.depths.setdefault(name, []).append(len(self.stack))
+        self.depths[name].append(len(self.stack))
         if name in BLOCKS:
             self.open_blocks.append(len(self.stack))
         self.stack.append(name)
@@ -135,17 +137,16 @@ class Page:
         return max((self.depths[n][-1] for n in names if self.depths.get(n)), default=-1)
 
     def close(self, name: str) -> None:
-        at = self.innermost((name,))
-        if at >= 0:
-            if self.open_blocks and self.open_blocks[-1] >= at and not self.drop:
+        if open_ := self.depths.get(name):
+            if self.open_blocks and self.open_blocks[-1] >= open_[-1] and not self.drop:
                 self.flush()
-            self.pop(at)
+            self.pop(open_[-1])
 
     def implied(self, name: str) -> None:
         if name in ENDS_P:
-            at = self.innermost(("p",))
-            if at >= 0 and self.open_blocks[-1] == at:
-                self.pop(at)
+            open_ = self.depths.get("p")
+            if open_ and self.open_blocks[-1] == open_[-1]:
+                self.pop(open_[-1])
         elif name in CLOSES:
             ends, until = CLOSES[name]
             at = self.innermost(ends)
@@ -212,39 +213,42 @@ class SuffixArray:
 
     def __init__(self, tokens: np.ndarray):
         n = len(tokens)
-        rank = np.unique(tokens, return_inverse=True)[1].astype(np.int64)
+        order = np.argsort(tokens)
+        here = tokens[order]
+        fresh = np.ones(n, dtype=bool)
+        fresh[1:] = here[1:] != here[:-1]
+        # A rank is the place of its group's first member.
+        rank = np.empty(n, dtype=np.int64)
+        rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
         ranks, step = [rank], 1
-        order = np.argsort(rank, kind="stable")
-        while True:
-            sorted_rank = rank[order]
-            fresh = np.ones(n, dtype=bool)
-            fresh[1:] = sorted_rank[1:] != sorted_rank[:-1]
-            last = np.append(fresh[1:], True)
-            open_ = ~(fresh & last)  # suffixes that still share their rank
-            if step >= n or not open_.any():
-                break
-            at = order[open_]
-            after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)], -1)
+        shared = (~fresh).astype(np.int64)  # in how many rounds a place shares its rank with the one before
+        places = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))  # of suffixes that still share their rank
+        while step < n and len(places):
+            at = order[places]
+            after = np.where(at + step < n, rank[np.minimum(at + step, n - 1)] + 1, 0)
             # Groups keep their place in the order; only their members are sorted again.
-            again = np.lexsort((after, sorted_rank[open_]))
-            order[open_] = at[again]
-            group, after = sorted_rank[open_], after[again]
-            new = np.ones(len(group), dtype=bool)
-            new[1:] = (group[1:] != group[:-1]) | (after[1:] != after[:-1])
-            begin = np.arange(n)
-            places = np.flatnonzero(open_)
+            key = rank[at] * (n + 1) + after
+            again = np.argsort(key)
+            at, key = at[again], key[again]
+            order[places] = at
+            new = np.ones(len(places), dtype=bool)
+            new[1:] = key[1:] != key[:-1]
+            shared[places[~new]] += 1
             rank = rank.copy()
-            rank[order] = begin  # a rank is the place of its group's first member
-            rank[order[open_]] = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            rank[at] = places[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
             ranks.append(rank)
+            places = places[~(new & np.append(new[1:], True))]
             step *= 2
         self.order = order
-        common = np.zeros(max(0, n - 1), dtype=np.int64)
-        for k in range(len(ranks) - 1, -1, -1):
-            a, b = order[:-1] + common, order[1:] + common
+        # Neighbours that share their rank in k rounds, no more, have at least 2 ** (k - 1) tokens in common and fewer than 2 ** k.
+        shared = shared[1:]
+        common = np.where(shared > 0, 1 << np.maximum(shared - 1, 0), 0)
+        for k in range(len(ranks) - 2, -1, -1):
+            i = np.flatnonzero(shared > k + 1)
+            a, b = order[i] + common[i], order[i + 1] + common[i]
             inside = (a < n) & (b < n)
             same = inside & (ranks[k][np.minimum(a, n - 1)] == ranks[k][np.minimum(b, n - 1)])
-            common += same.astype(np.int64) << k
+            common[i] += same.astype(np.int64) << k
         self.common = common
 
 
@@ -252,18 +256,16 @@ class RangeMin:
     """Minimum of values[a..b) for arrays of a and b, a < b."""
 
     def __init__(self, values: np.ndarray):
-        self.rows = [values.astype(np.int32)]
-        while (half := 1 << (len(self.rows) - 1)) * 2 <= len(values):
-            row = self.rows[-1]
-            self.rows.append(np.minimum(row[:-half], row[half:]))
+        n = len(values)
+        self.rows = np.zeros((max(1, n.bit_length()), n), dtype=np.int32)
+        self.rows[0] = values
+        for k in range(1, len(self.rows)):
+            half = 1 << (k - 1)
+            np.minimum(self.rows[k - 1, : n - 2 * half + 1], self.rows[k - 1, half : n - half + 1], out=self.rows[k, : n - 2 * half + 1])
 
     def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(a), dtype=np.int32)
         level = np.frexp((b - a).astype(float))[1] - 1
-        for k in np.unique(level):
-            at = level == k
-            out[at] = np.minimum(self.rows[k][a[at]], self.rows[k][b[at] - (1 << int(k))])
-        return out
+        return np.minimum(self.rows[level, a], self.rows[level, b - (1 << level.astype(np.int64))])
 
 
 def two_before(owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -315,11 +317,19 @@ def word_id(word: str) -> int:
     return int.from_bytes(blake2b(word.encode("utf-8"), digest_size=8).digest(), "little", signed=True)
 
 
-def fingerprints(words: list[str], known: dict[str, int]) -> np.ndarray:
+class WordIds(dict):
+    """The ids of words, each computed once."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = word_id(word)
+        return found
+
+
+def fingerprints(words: list[str], known: WordIds) -> np.ndarray:
     """48 bits of the WINDOW tokens that each suffix begins with; suffixes too short have none."""
     if len(words) < WINDOW:
         return np.zeros(0, dtype=np.uint64)
-    ids = np.array([known.get(w) or known.setdefault(w, word_id(w)) for w in words], dtype=np.int64).view(np.uint64)
+    ids = np.fromiter(map(known.__getitem__, words), dtype=np.int64, count=len(words)).view(np.uint64)
     h = np.zeros(len(ids) - WINDOW + 1, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(WINDOW):
@@ -382,16 +392,14 @@ def spread(at: np.ndarray, size: int) -> np.ndarray:
 
 def host_texts(pages: list[tuple[list[str], bool]]) -> list[str]:
     """The texts of one host's pages, by the suffix array of their concatenated streams."""
-    numbers: dict[str, int] = {}
-    stream, sizes = [], []
+    numbers: dict[str, int] = defaultdict(count().__next__)
+    stream, lengths = [], []
     for blocks, _ in pages:
-        before = len(stream)
-        for b in blocks:
-            stream += [numbers.setdefault(w, len(numbers)) for w in b.split()]
-        sizes.append(len(stream) - before)
-        stream.append(-1 - len(sizes))  # an end that no other page shares
-    lengths = np.array(sizes, dtype=np.int64) + 1
-    best = repeat_lengths(np.array(stream, dtype=np.int64), np.repeat(np.arange(len(pages)), lengths))
+        words = " ".join(blocks).split()
+        stream.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+        stream.append(np.array([-1 - len(lengths)]))  # an end that no other page shares
+        lengths.append(len(words) + 1)
+    best = repeat_lengths(np.concatenate(stream), np.repeat(np.arange(len(pages)), lengths))
     places: dict[str, list[int]] = {}
     for blocks, _ in pages:
         for b, (low, high, near, far) in standings(blocks).items():
@@ -415,30 +423,45 @@ def at_most(keys: np.ndarray, times: int) -> np.ndarray:
     return keys[np.append(np.ones(min(times, len(keys)), dtype=bool), keys[times:] != keys[:-times])]
 
 
+#: The places of a short block over some pages: its key, the pages, and the bounds that ``standings`` names.
+PLACES = np.dtype([("block", "<i8"), *((f, "<i4") for f in ("pages", "first", "last", "nearest", "farthest"))])
+
+
+def merged_places(rows: np.ndarray) -> np.ndarray:
+    """One row for each block."""
+    rows = rows[np.argsort(rows["block"])]
+    begin = np.flatnonzero(np.append(True, rows["block"][1:] != rows["block"][:-1])[: len(rows)])
+    out = rows[begin]
+    if len(rows):
+        for field, fold in (("pages", np.add), ("first", np.minimum), ("last", np.maximum), ("nearest", np.minimum), ("farthest", np.maximum)):
+            out[field] = fold.reduceat(rows[field], begin)
+    return out
+
+
 def split_beginnings(batches):
-    """(host, part, keys) of a split of large hosts: each suffix's beginning once for each of up to LEAST_PAGES pages."""
-    known: dict[str, int] = {}
+    """(host, part, keys, places) of a split of large hosts, read once.
+
+    keys: each suffix's beginning, once for each of up to LEAST_PAGES pages;
+    places: those of the short blocks, which are named by a 64-bit key.
+    """
+    known = WordIds()
     for batch in slices(batches):
         if len(known) > 1_000_000:
             known.clear()
-        found: dict[tuple, list[np.ndarray]] = {}
+        found: dict[tuple, tuple[list[np.ndarray], list[tuple]]] = defaultdict(lambda: ([], []))
         for host, parts, html in zip(*(batch.column(c).to_pylist() for c in ("host", "parts", "html")), strict=True):
-            found.setdefault((host, parts), []).append(np.unique(fingerprints([w for b in content(html)[0] for w in b.split()], known)))
+            blocks = content(html)[0]
+            keys, places = found[host, parts]
+            keys.append(at_most(np.sort(fingerprints(" ".join(blocks).split(), known)), 1))
+            places += [(word_id(b), 1, *place) for b, place in standings(blocks).items()]
         rows = []
-        for (host, parts), keys in found.items():
+        for (host, parts), (keys, places) in found.items():
             keys = at_most(np.sort(np.concatenate(keys)), LEAST_PAGES)
-            part = keys % np.uint64(parts)
-            rows += [(host, int(k), packed(keys[part == k])) for k in np.unique(part)]
-        columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["host", "part", "keys"])
-
-
-def split_standings(batches):
-    """(host, block, first, last, nearest, farthest): the places of each short block of a page; blocks by a 64-bit key."""
-    for batch in slices(batches):
-        rows = [(host, word_id(b), *places) for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True) for b, places in standings(content(html)[0]).items()]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), *[pa.int32()] * 4), strict=True)], ["host", "block", "first", "last", "nearest", "farthest"])
+            places = merged_places(np.array(places, dtype=PLACES))
+            part, of_place = keys % np.uint64(parts), places["block"].view(np.uint64) % np.uint64(parts)
+            rows += [(host, int(k), packed(keys[part == k]), places[of_place == k].tobytes()) for k in np.union1d(part, of_place)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], ["host", "part", "keys", "places"])
 
 
 def packed(keys: np.ndarray) -> bytes:
@@ -453,10 +476,13 @@ def unpacked(data: bytes) -> np.ndarray:
 
 
 def repeated_keys(blobs: pa.Table) -> pa.Table:
-    """The beginnings of one part that stand on LEAST_PAGES pages or more."""
+    """Of one part the beginnings that stand on LEAST_PAGES pages or more, and the blocks that are notices."""
     keys, counts = np.unique(np.concatenate([unpacked(b) for b in blobs.column("keys").to_pylist()]), return_counts=True)
     keys = keys[counts >= LEAST_PAGES]
-    return pa.table({"host": pa.array([blobs.column("host")[0].as_py()], pa.string()), "keys": pa.array([packed(keys)], pa.binary())}).slice(0, min(1, len(keys)))
+    places = merged_places(np.frombuffer(b"".join(blobs.column("places").to_pylist()), dtype=PLACES))
+    notices = [block for block, *place in places[places["pages"] >= NOTICE_PAGES].tolist() if is_notice(*place)]
+    found = pa.table({"host": pa.array([blobs.column("host")[0].as_py()], pa.string()), "keys": pa.array([packed(keys)], pa.binary()), "notices": pa.array([notices], pa.list_(pa.int64()))})
+    return found.slice(0, min(1, len(keys) + len(notices)))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -486,31 +512,22 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     if large.isEmpty():
         return whole
     big = dealt.where("parts IS NOT NULL")
-    blobs = map_batches(big.select("host", "parts", "html"), split_beginnings, "host string, part int, keys binary")
-    repeats, _ = work.save(blobs.groupBy("host", "part").applyInArrow(repeated_keys, "host string, keys binary"))
-    placed = map_batches(big.select("host", "html"), split_standings, "host string, block long, first int, last int, nearest int, farthest int")
-    same = (F.col("low") == F.col("high")) | (F.col("near") == F.col("far"))
-    notices, _ = work.save(
-        placed.groupBy("host", "block")
-        .agg(F.count("*").alias("n"), F.min("first").alias("low"), F.max("last").alias("high"), F.min("nearest").alias("near"), F.max("farthest").alias("far"))
-        .where((F.col("n") >= NOTICE_PAGES) & same)
-        .select("host", "block")
-    )
-    size = (repeats.agg(F.sum(F.octet_length("keys"))).first()[0] or 0) + 8 * notices.count()
-    return whole.unionByName((_cut_by_broadcast if size <= BROADCAST_BYTES else _cut_by_join)(big, repeats, notices, work, out))
-
-
-def _cut_by_broadcast(big: DataFrame, repeats: DataFrame, notices: DataFrame, work: WorkTables, out: str) -> DataFrame:
+    blobs = map_batches(big.select("host", "parts", "html"), split_beginnings, "host string, part int, keys binary, places binary")
+    repeats, _ = work.save(blobs.groupBy("host", "part").applyInArrow(repeated_keys, "host string, keys binary, notices array<long>"))
+    size = repeats.agg(F.sum(F.octet_length("keys") + 8 * F.size("notices"))).first()[0] or 0
+    return whole.unionByName((_cut_by_broadcast if size <= BROADCAST_BYTES else _cut_by_join)(big, repeats, work, out))
+
+
+def _cut_by_broadcast(big: DataFrame, repeats: DataFrame, work: WorkTables, out: str) -> DataFrame:
     found: dict[str, list[np.ndarray]] = {}
+    named: dict[str, set[int]] = {}
     for r in repeats.collect():
         found.setdefault(r["host"], []).append(unpacked(bytes(r["keys"])))
-    named: dict[str, set[int]] = {}
-    for r in notices.collect():
-        named.setdefault(r["host"], set()).add(r["block"])
+        named.setdefault(r["host"], set()).update(r["notices"])
     sent = big.sparkSession.sparkContext.broadcast(({h: np.sort(np.concatenate(k)) for h, k in found.items()}, named))
 
     def build():
-        (repeated, named), known = sent.value, {}
+        (repeated, named), known = sent.value, WordIds()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             if len(known) > 1_000_000:
@@ -518,7 +535,7 @@ def _cut_by_broadcast(big: DataFrame, repeats: DataFrame, notices: DataFrame, wo
             texts = []
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
                 blocks, declared = content(html)
-                hits = among(fingerprints([w for b in blocks for w in b.split()], known), repeated.get(host))
+                hits = among(fingerprints(" ".join(blocks).split(), known), repeated.get(host))
                 mine = named.get(host, ())
                 texts.append("\n".join(cut_blocks(blocks, declared, np.flatnonzero(hits), lambda b, mine=mine: word_id(b) in mine)))
             return page_rows(batch, texts)
@@ -539,15 +556,15 @@ def page_rows(batch: pa.RecordBatch, texts: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
 
-def _cut_by_join(big: DataFrame, repeats: DataFrame, notices: DataFrame, work: WorkTables, out: str) -> DataFrame:
+def _cut_by_join(big: DataFrame, repeats: DataFrame, work: WorkTables, out: str) -> DataFrame:
     """The same by joins: a page's keys with the repeated ones of its host, then its hits back to the page."""
 
     def explode(batches):
         for batch in slices(batches):
-            known: dict[str, int] = {}
+            known = WordIds()
             for host, page, html in zip(*(batch.column(c).to_pylist() for c in ("host", "page", "html")), strict=True):
                 blocks = content(html)[0]
-                keys = np.concatenate([fingerprints([w for b in blocks for w in b.split()], known).view(np.int64), np.array([word_id(b) for b in blocks], dtype=np.int64)])
+                keys = np.concatenate([fingerprints(" ".join(blocks).split(), known).view(np.int64), np.array([word_id(b) for b in blocks], dtype=np.int64)])
                 n = len(keys) - len(blocks)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([host] * len(keys), pa.string()), pa.array([page] * len(keys), pa.int64()), pa.array([*range(n), *range(len(blocks))], pa.int32()), pa.array(np.arange(len(keys)) >= n), pa.array(keys)],
@@ -574,7 +591,8 @@ def _cut_by_join(big: DataFrame, repeats: DataFrame, notices: DataFrame, work: W
     # Equal html of one host has equal hits, so a digest names a page.
     named = big.withColumn("page", F.xxhash64("host", "html"))
     once = named.groupBy("page").agg(F.first("host").alias("host"), F.first("html").alias("html"))
-    keys = map_batches(repeats, unpack, "host string, of_block boolean, key long").unionByName(notices.select("host", F.lit(True).alias("of_block"), F.col("block").alias("key")))
+    notices = repeats.select("host", F.lit(True).alias("of_block"), F.explode("notices").alias("key"))
+    keys = map_batches(repeats.select("host", "keys"), unpack, "host string, of_block boolean, key long").unionByName(notices)
     found = map_batches(once.select("host", "page", "html"), explode, "host string, page long, at int, of_block boolean, key long").join(keys, ["host", "of_block", "key"])
     at = F.col("at")
     hits, _ = work.save(found.groupBy("page").agg(F.collect_list(F.when(~F.col("of_block"), at)).alias("hits"), F.collect_list(F.when(F.col("of_block"), at)).alias("fixed")))

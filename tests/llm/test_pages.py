@@ -1,5 +1,9 @@
 """URL filter and main text."""
 
+import random
+
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,6 +193,47 @@ def test_repeat_lengths_against_brute_force():
             assert got[i] == want
 
 
+def test_suffix_array_against_sorted_suffixes():
+    r = random.Random(9)
+    for _ in range(300):
+        copied = [r.randint(0, 3) for _ in range(r.randint(1, 40))]
+        tokens = [t for k in range(r.randint(1, 5)) for t in [*copied[: r.randint(0, 40)], *(r.randint(0, 2) for _ in range(r.randint(0, 6))), -1 - k]]
+        array = html_text.SuffixArray(np.array(tokens))
+        order = sorted(range(len(tokens)), key=lambda i: tokens[i:])
+        assert array.order.tolist() == order
+        for a, b, n in zip(order[:-1], order[1:], array.common.tolist(), strict=True):
+            assert tokens[a : a + n] == tokens[b : b + n] and tokens[a + n : a + n + 1] != tokens[b + n : b + n + 1]
+
+
+def test_a_large_host_gives_beginnings_and_notices_in_one_read(monkeypatch):
+    r = random.Random(4)
+    pages = [[f"call number {r.randint(0, 4)}", *(f"text {r.randint(0, 10**6)} of the page" for _ in range(r.randint(1, 4))), "the end", f"last {r.randint(0, 3)}"] for _ in range(90)]
+    reads = []
+    monkeypatch.setattr(html_text, "content", lambda h: (reads.append(h), (h.split("|"), True))[1])
+    rows = []
+    for at in range(0, 90, 30):
+        split = pa.RecordBatch.from_pydict({"host": ["h"] * 30, "parts": pa.array([3] * 30, pa.int32()), "html": ["|".join(p) for p in pages[at : at + 30]]})
+        rows += [row for batch in html_text.split_beginnings([split]) for row in batch.to_pylist()]
+    assert len(reads) == 90
+    found, keys = [], 0
+    for part in range(3):
+        for row in html_text.repeated_keys(pa.Table.from_pylist([x for x in rows if x["part"] == part])).to_pylist():
+            found += row["notices"]
+            keys += len(row["keys"]) // 6
+    stands = {}
+    for p in pages:
+        for b in set(p):
+            stands.setdefault(b, []).append((p.index(b), len(p) - p.index(b)))
+    fixed = {b for b, at in stands.items() if len(at) >= html_text.NOTICE_PAGES and (len({x for x, _ in at}) == 1 or len({x for _, x in at}) == 1)}
+    assert len(fixed) > 5 and sorted(found) == sorted(map(html_text.word_id, fixed))
+    windows = {}
+    for p in pages:
+        words = " ".join(p).split()
+        for w in {tuple(words[i : i + html_text.WINDOW]) for i in range(len(words) - html_text.WINDOW + 1)}:
+            windows[w] = windows.get(w, 0) + 1
+    assert keys == sum(n >= html_text.LEAST_PAGES for n in windows.values())
+
+
 def test_deep_and_long_pages(spark):
     rows = [(0, "http://a.b/", "<div>" * 20_000 + "deep" + "</div>" * 20_000), (1, "http://a.b/", "<p><b>" * 5000 + "x"), (2, "http://c.d/", "<article>" + "<p>word word</p>" * 20_000 + "</article>"), (3, "no scheme", "<p>y")]
     got = {r["page_id"]: r["text"] for r in html_text.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
