@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandgraph.llm.common import map_rows, texts_of
+from strandgraph.llm.common import keeps, map_rows, texts_of
 
 END = "</w>"
 #: Unicode White_Space, spelled out so that no library's reading of \s matters.
@@ -252,6 +252,9 @@ def encoder(path: str) -> WordBpe:
     return WordBpe(path)
 
 
+keeps(__name__, encoder.cache_clear, library.cache_clear, rare.cache_clear)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 

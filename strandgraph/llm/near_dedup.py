@@ -40,7 +40,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from strandgraph.llm.common import WorkTables, fresh, map_batches, map_rows, slices
+from strandgraph.llm.common import WorkTables, fresh, keeps, map_batches, map_rows, slices
 from strandgraph.operators.component import star_components
 
 SHINGLE, THRESHOLD = 5, 75
@@ -62,6 +62,7 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
+keeps(__name__, _powers.clear)
 
 
 def powers(base: int, n: int) -> np.ndarray:

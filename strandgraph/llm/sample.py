@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from zlib import crc32
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -30,7 +31,9 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
         ids += known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).collect()
     if not ids:
         return [], counts
-    chosen = F.broadcast(docs.sparkSession.createDataFrame([(r["doc_id"], r["y"]) for r in ids], "doc_id string, y int"))
+    # An Arrow table goes to the JVM as it is; a list of rows would start a second set of python workers on the executors.
+    table = pa.table({"doc_id": pa.array([r["doc_id"] for r in ids], pa.string()), "y": pa.array([r["y"] for r in ids], pa.int32())})
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(table))
     room = F.greatest(F.length("text") - max_chars, F.lit(0))
     rows = (
         docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")

@@ -27,7 +27,7 @@ from hashlib import sha256
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from strandgraph.llm.common import map_rows, texts_of
+from strandgraph.llm.common import keeps, map_rows, texts_of
 
 KINDS = ("assign", "access", "hex", "random")
 BASE_KINDS = KINDS[:3]
@@ -64,6 +64,9 @@ def encoding(path: str):
     return tiktoken.Encoding("secrets", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+keeps(__name__, encoding.cache_clear)
+
+
 def vocabulary_path() -> str:
     import public_tokenizers
 
